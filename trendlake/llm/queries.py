@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import compression_classifier
+from .bpe import encode_documents
 from .line_dedup import dedup_lines
+from .packing import pack_documents
+from .simhash_dedup import near_duplicates
 from .substring_dedup import dedup_substrings
 
 
@@ -14,16 +19,39 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fold(n: int) -> Column:
+    """A document's fold of n: CRC-32 of its id written out, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_documents(spark, sf_dir))
 
 
+def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = compression_classifier.train(docs, labels, learnable=fold(5) != 0)
+    return compression_classifier.score_documents(docs, model, held_out=fold(5) == 0)
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_compression_classifier, op5_simhash_dedup, op8_bpe_codec, op9_packing, op10_line_dedup)}
 
 
 SQL: dict[str, str] = {}
