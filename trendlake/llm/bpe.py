@@ -24,10 +24,9 @@ import unicodedata
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import normalizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import repo_tokenizer
 
@@ -49,10 +48,15 @@ def _ranges(wanted) -> str:
 
 
 @functools.cache
-def _classes(newest: bool) -> tuple[str, str]:
-    """Letters and digits, by the regex library's tables or by the older ones of this Python."""
-    if newest:
-        return _ranges(regex.compile(r"\p{L}").match), _ranges(regex.compile(r"\p{N}").match)
+def _classes(own: bool) -> tuple[str, str]:
+    """Letters and digits: by the tables of the tokenizers library's patterns, or by this Python's."""
+    if own:
+        everything = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+        found = []
+        for kind in (r"[\p{L}]+", r"[\p{N}]+"):
+            kept = pre_tokenizers.Split(Regex(kind), behavior="removed", invert=True).pre_tokenize_str(everything)
+            found.append(_ranges({c for run, _ in kept for c in run}.__contains__))
+        return found[0], found[1]
     return _ranges(lambda c: unicodedata.category(c)[0] == "L"), _ranges(lambda c: unicodedata.category(c)[0] == "N")
 
 
@@ -197,7 +201,7 @@ class Tokenizer:
         self.marks = re.compile("(" + "|".join(map(re.escape, self.model.special)) + ")")
         self.cache = _Cache()
         if self.model.suffix:
-            self.unknown = re.compile("[" + _ranges(lambda c: unicodedata.category(c) == "Cn") + "]")
+            self.young = re.compile("[" + _ranges(lambda c: unicodedata.ucd_3_2_0.category(c) == "Cn") + "]")
             self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
     def words(self, text: str) -> list[str]:
@@ -210,8 +214,8 @@ class Tokenizer:
 
     def _split(self, text: str) -> list[str]:
         if self.model.suffix:
-            if not text.isascii() and not _is_latin(text) and self.unknown.search(text):
-                text = self.normalizer.normalize_str(text)  # characters younger than this Python
+            if not text.isascii() and not _is_latin(text) and self.young.search(text):
+                text = self.normalizer.normalize_str(text)  # characters on which versions of Unicode differ
             else:
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no special form of sigma at a word's end
         return self.pattern.findall(text)
