@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier
+from . import compression_classifier, langid, quality_rules
 from .bpe import encode_documents
 from .line_dedup import dedup_lines
+from .order_minhash import compare_with_next
 from .packing import pack_documents
 from .simhash_dedup import near_duplicates
 from .substring_dedup import dedup_substrings
@@ -28,6 +29,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs, learnable=fold(3) != 1), held_out=fold(3) == 1)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir))
+
+
 def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = compression_classifier.train(docs, labels, learnable=fold(5) != 0)
@@ -38,6 +48,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_documents(spark, sf_dir))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir))
 
@@ -51,10 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_compression_classifier, op5_simhash_dedup, op8_bpe_codec, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_compression_classifier, op5_simhash_dedup, op6_order_minhash, op8_bpe_codec, op9_packing, op10_line_dedup)}
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_quality_rules": quality_rules.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
