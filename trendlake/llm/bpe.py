@@ -92,11 +92,15 @@ class Model:
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int32)[order]
         self.base = {self._plain(t): i for t, i in vocab.items() if self.rank[i] < 0}
+        self._merged = np.array([c for _, c in self.merges.values()], np.int64)
+        self._byte_ids = np.array([self.base.get(chr(b), 0) for b in range(256)], np.int64)
+        self._sizes = np.zeros(size)
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
             plain = self._plain(t)
             if self.rank[i] < 0 or self.merge_exactly(plain) == [i]:  # some tokens can't come of their own text
-                self.automaton.add_word(plain, (i, len(plain)))
+                self.automaton.add_word(plain, i)
+            self._sizes[i] = len(plain)
         self.automaton.make_automaton()
 
     def _plain(self, token: str) -> str:
@@ -144,28 +148,72 @@ class Model:
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
         return good
 
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.int64) << 32) | b
+        spot = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[spot] == key, self._ranks[spot], _NEVER)
+
+    def merge_all(self, plains: list[str]) -> list[list[int]]:
+        """merge_exactly of many words: every round makes the next merge of each word."""
+        out: list[list[int]] = [[] for _ in plains]
+        if not plains:
+            return out
+        lasts = [p[-2:] if p.endswith(_END) else p[-1:] for p in plains]
+        firsts = "".join(p[: len(p) - len(last)] + "?" for p, last in zip(plains, lasts))
+        ids = self._byte_ids[np.frombuffer(firsts.encode("latin-1"), np.uint8)]
+        size = np.array([len(p) - len(last) + 1 for p, last in zip(plains, lasts)])
+        ids[np.cumsum(size) - 1] = [self.base[x] for x in lasts]
+        word = np.repeat(np.arange(len(plains)), size)
+        rank = np.append(self._ranks_of(ids[:-1], ids[1:]), _NEVER)
+        rank[:-1][word[1:] != word[:-1]] = _NEVER
+        while len(ids):
+            edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, edge)
+            length = np.diff(np.append(edge, len(word)))
+            done = best == _NEVER
+            for i in np.flatnonzero(done).tolist():
+                out[word[edge[i]]] = ids[edge[i] : edge[i] + length[i]].tolist()
+            spot = np.flatnonzero((rank == np.repeat(best, length)) & (rank != _NEVER))
+            spot = spot[np.append(True, word[spot[1:]] != word[spot[:-1]])] if len(spot) else spot
+            ids[spot] = self._merged[rank[spot]]
+            stays = np.repeat(~done, length)
+            stays[spot + 1] = False
+            moved = np.cumsum(stays) - 1
+            spot = moved[spot]
+            ids, word, rank = ids[stays], word[stays], rank[stays]
+            for at in (spot - 1, spot):
+                at = at[(at >= 0) & (at < len(ids) - 1)]
+                same = word[at] == word[at + 1]
+                rank[at] = np.where(same, self._ranks_of(ids[at], ids[at + 1]), _NEVER)
+            if len(rank):
+                rank[-1] = _NEVER
+        return out
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word; a word is encoded without regard to its neighbours."""
         end = _END if self.suffix else ""
         plain = [w.encode().decode("latin-1") + end for w in words]
-        out: list[list[int]] = [[] for _ in plain]
         starts = np.cumsum([0] + [len(p) + 1 for p in plain])
-        found = list(self.automaton.iter_long(_GAP.join(plain)))
-        if not found:
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(_GAP.join(plain))), np.int64)
+        if not len(found):
             return [self.merge_exactly(p) for p in plain]
-        last = np.array([e for e, _ in found], np.int64)
-        ids, size = np.array([v for _, v in found], np.int64).T
+        last, ids = found[::2], found[1::2]
         owner = np.searchsorted(starts, last, "right") - 1
-        covered = np.bincount(owner, size, len(plain))
-        wrong = covered != np.diff(starts) - 1
+        wrong = np.bincount(owner, self._sizes[ids], len(plain)) != np.diff(starts) - 1
         inside = owner[1:] == owner[:-1]
         pairs, back = np.unique((ids[:-1][inside] << 32) | ids[1:][inside], return_inverse=True)
         bad = ~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
         wrong[owner[:-1][inside][bad]] = True
-        edges = np.searchsorted(owner, np.arange(len(plain) + 1))
-        flat, edges, wrong = ids.tolist(), edges.tolist(), wrong.tolist()
-        for i, p in enumerate(plain):
-            out[i] = self.merge_exactly(p) if wrong[i] else flat[edges[i] : edges[i + 1]]
+        edges = np.searchsorted(owner, np.arange(len(plain) + 1)).tolist()
+        flat = ids.tolist()
+        out = [flat[a:b] for a, b in zip(edges, edges[1:])]
+        again = np.flatnonzero(wrong).tolist()
+        short = [i for i in again if len(plain[i]) <= 64]
+        for i, merged in zip(short, self.merge_all([plain[i] for i in short])):
+            out[i] = merged
+        for i in again:
+            if len(plain[i]) > 64:
+                out[i] = self.merge_exactly(plain[i])
         return out
 
 
@@ -177,10 +225,8 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-class _Cache(dict):
-    """Codes of words; asked with get() so that misses can be encoded together."""
-
-    most = 300_000
+#: Words that a process remembers, about 250 bytes each.
+MOST_CACHED = 900_000
 
 
 class Tokenizer:
@@ -192,18 +238,21 @@ class Tokenizer:
 
     def __init__(self, path: str):
         self.model = Model(path)
-        letters, digits = _classes(bool(self.model.suffix))
-        other, short = f"[^{WHITE_SPACE}{letters}{digits}]", "'s|'t|'re|'ve|'m|'ll|'d"
-        if self.model.suffix:
-            self.pattern = re.compile(f"{short}|[{letters}]+|[{digits}]|{other}+")
-        else:
-            self.pattern = re.compile(f"{short}| ?[{letters}]+| ?[{digits}]+| ?{other}+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+        self.pattern = self._pattern(*_classes(bool(self.model.suffix)))
+        # Of these characters alone: the same pattern, but with classes that are looked up faster.
+        self.latin = self._pattern(*("".join(re.escape(chr(i)) for i in range(256) if re.fullmatch(f"[{c}]", chr(i))) for c in _classes(bool(self.model.suffix))))
         self.marks = re.compile("(" + "|".join(map(re.escape, self.model.special)) + ")")
-        self.cache = _Cache()
+        self.cache: dict = {}
         if self.model.suffix:
             self.young = re.compile("[" + _ranges(lambda c: unicodedata.ucd_3_2_0.category(c) == "Cn") + "]")
             self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
+    def _pattern(self, letters: str, digits: str) -> re.Pattern:
+        other, short = f"[^{WHITE_SPACE}{letters}{digits}]", "'s|'t|'re|'ve|'m|'ll|'d"
+        if self.model.suffix:
+            return re.compile(f"{short}|[{letters}]+|[{digits}]|{other}+")
+        return re.compile(f"{short}| ?[{letters}]+| ?[{digits}]+| ?{other}+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+
     def words(self, text: str) -> list[str]:
         """The words of a text. Special tokens stand as they are, after a mark that no text can hold."""
         if "<|" in text:
@@ -213,22 +262,22 @@ class Tokenizer:
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
+        latin = text.isascii() or _is_latin(text)
         if self.model.suffix:
-            if not text.isascii() and not _is_latin(text) and self.young.search(text):
+            if not latin and self.young.search(text):
                 text = self.normalizer.normalize_str(text)  # characters on which versions of Unicode differ
             else:
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no special form of sigma at a word's end
-        return self.pattern.findall(text)
+        return (self.latin if latin else self.pattern).findall(text)
 
     def codes(self, texts: list[str], make) -> list[list]:
         """For each text make(ids) of its words; make must always be the same function for a tokenizer."""
-        cache = self.cache
         split = [self.words(t) for t in texts]
-        missing = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(missing) > cache.most:
-            cache.clear()
-            missing = list({w for words in split for w in words})
-        plain = [w for w in missing if w[0] != "\ud800"]
+        missing = set(itertools.chain.from_iterable(split)).difference(self.cache)
+        if len(self.cache) + len(missing) > MOST_CACHED:
+            self.cache.clear()
+            missing = set(itertools.chain.from_iterable(split))
+        cache, plain = self.cache, [w for w in missing if w[0] != "\ud800"]
         cache.update(zip(plain, map(make, self.model.encode_words(plain))))
         cache.update((w, make([self.model.special[w[1:]]])) for w in missing if w[0] == "\ud800")
         return [list(map(cache.__getitem__, words)) for words in split]

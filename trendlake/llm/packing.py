@@ -9,10 +9,12 @@ As documents may be cut, the emptiest bins are then dealt out into the room left
 
 from __future__ import annotations
 
+import functools
+import struct
 import zlib
 
-import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,44 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _GROUP_BITS = 31
 
 
+#: The words of byte-level BPE (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Longer texts go to our own encoder, as very long runs can exhaust that of the library.
+LIBRARY_CHARS = 200_000
+
+
+class ByteCodec:
+    """Ids of a text as little-endian unsigned 32-bit numbers, for a byte-level BPE file."""
+
+    def __init__(self, path: str):
+        self.own = bpe.Tokenizer(path)
+        model = self.own.model
+        plain = {model._plain(t).encode("latin-1"): i for i, t in model.tokens.items() if i not in model.special.values()}
+        if any(c != 256 + r for r, c in model.merges.values()):
+            raise ValueError(f"{path}: ids must be in the order of merges")
+        self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
+
+    def _plain(self, text: str) -> bytes:
+        if len(text) > LIBRARY_CHARS:
+            return b"".join(self.own.codes([text], _packed)[0])
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if "<|" not in text:
+            return self._plain(text)
+        special = self.own.model.special
+        return b"".join(_packed([special[p]]) if i % 2 else self._plain(p) for i, p in enumerate(self.own.marks.split(text)))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.cache
+def codec(path: str) -> ByteCodec:
+    return ByteCodec(path)
+
+
 class Tournament:
     """Free room of bins, all of one size at first; each inner node holds the most room below it."""
 
@@ -95,18 +135,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, e
     dealt = docs.select(batch_of(doc_id, text, n_groups).alias("group"), doc_id.alias("doc_id"), text.alias("text")).repartition(shuffle_partitions(docs.sparkSession), "group")
 
     def run(part: pa.Table) -> pa.Table:
-        tokenizer = bpe.load(path, "pack")
-
-        def make(ids: list[int]) -> bytes:
-            return np.array(ids, "<u4").tobytes()
-
-        tail, group = make([end_id]), part.column("group")[0].as_py()
+        encode = codec(path).encode
+        tail, group = _packed([end_id]), part.column("group")[0].as_py()
         ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
         ids = [ids[i] for i in order]
-        codes: list[bytes] = []
-        for chunk in bpe.in_chunks([texts[i] for i in order]):
-            codes.extend(b"".join(x) + tail for x in tokenizer.codes(chunk, make))
+        codes = [encode(texts[i] or "") + tail for i in order]
         rows = []
         for number, pieces in enumerate(pack([len(c) // 4 for c in codes], room)):
             offset, sequence = 0, (group << _GROUP_BITS) + number

@@ -131,8 +131,8 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
-  SELECT doc_id, text, list_filter(string_split(translate(text, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), x -> x <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> translate(x, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '') <> '') AS lines
+  SELECT doc_id, text, list_filter(string_split(translate(text, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: translate(x, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '') <> '') AS lines
   FROM d
 ), m AS (
   SELECT doc_id, text, words, len(words) AS n_words, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import compression_classifier, langid, quality_rules
 from .bpe import encode_documents
+from .chat_format import repair_conversations
 from .line_dedup import dedup_lines
 from .order_minhash import compare_with_next
 from .packing import pack_documents
@@ -52,6 +53,16 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_documents(spark, sf_dir))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # lies beside the package, and imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir))
 
@@ -65,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_compression_classifier, op5_simhash_dedup, op6_order_minhash, op8_bpe_codec, op9_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_compression_classifier, op5_simhash_dedup, op6_order_minhash, op7_chat_format, op8_bpe_codec, op9_packing, op10_line_dedup, pipeline)}
 
 
 SQL: dict[str, str] = {"op3_quality_rules": quality_rules.SQL}

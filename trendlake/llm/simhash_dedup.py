@@ -10,6 +10,10 @@ Equal fingerprints are one node. A key's members are compared in memory and only
 forest of their links leaves the task. A key with more than `hot` members is not brought
 together at all: its members are linked through every value up to T / 2 flips away, which needs
 a fixed number of rows a member and no comparison, and finds exactly the same components.
+
+A wider search (fingerprints of texts alike by `similarity`, not equal up to a few bits) would
+also meet unrelated texts. It therefore keeps 64 more bits made of the same shingles (even for
+short texts, as ties go to the least shingle) and accepts a link by the distance over all 128. There, crowded keys are compared block by block.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_partitions
+from .common import checkpoint, positional, shuffle_partitions
 from .components import connected_components
 
 BITS = 64
@@ -32,39 +36,60 @@ _SEED = 42
 ROW_COST, COMPARE_COST = 2000.0, 4.0
 
 
-def _to_signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _bits_over_half(hashes: np.ndarray, break_ties: bool = False) -> int:
+    """Bits set in over half the hashes; a tie is a zero, or the bit of the least hash."""
+    counts, step = np.zeros(BITS, np.int64), 65_536
+    for i in range(0, len(hashes), step):
+        some = np.ascontiguousarray(hashes[i : i + step], "<u8")
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    over = 2 * counts > len(hashes)
+    if break_ties:
+        least = np.unpackbits(np.array([hashes.min()], "<u8").view(np.uint8), bitorder="little").astype(bool)
+        over |= (2 * counts == len(hashes)) & least
+    return int(np.packbits(over, bitorder="little").view("<u8")[0])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 without words."""
+def fingerprint(text: bytes | None, shingle: int = 4, more: bool = False) -> tuple[int, int]:
+    """SimHash of a text's word shingles, repeats included, and (if `more`) 64 further bits of it.
+
+    Both are 0 without words. A text of fewer words than a shingle is one shingle.
+    """
     words = (text or b"").lower().split()  # of bytes: A-Z alone, U+0020 and U+0009 to U+000D
     if not words:
-        return 0
+        return 0, 0
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), _SEED)]
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)], np.uint64)
     else:
         joined, digest = b" ".join(words), xxhash.xxh64_intdigest
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = [0, *ends[:-shingle].tolist()]
-        hashes = [digest(joined[s:e], _SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    counts, step = np.zeros(BITS, np.int64), 65_536
-    for i in range(0, len(hashes), step):
-        some = np.array(hashes[i : i + step], "<u8")
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+        spans = zip(starts, (ends[shingle - 1 :] - 1).tolist())
+        hashes = np.fromiter((digest(joined[s:e], _SEED) for s, e in spans), np.uint64, len(starts))
+    return _bits_over_half(hashes), _bits_over_half(_mixed(hashes), True) if more else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text, as a signed long."""
+def node_of(fps: np.ndarray, extras: np.ndarray, more: bool) -> np.ndarray:
+    """The number of a class of equal fingerprints: the fingerprint, or a hash of all its bits."""
+    return (_mixed(fps ^ _mixed(extras + np.uint64(1))) if more else fps).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, more: bool = False) -> DataFrame:
+    """(doc_id, fp, extra, node): the fingerprint of every row's whole text, as signed longs."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            found = [_to_signed(fingerprint(t.as_py(), shingle)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle, more) for t in texts], np.uint64).reshape(-1, 2)
+            fps, extras = np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(extras.view(np.int64)), pa.array(node_of(fps, extras, more))], ["doc_id", "fp", "extra", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, extra long, node long")
 
 
 def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -149,82 +174,105 @@ def _flips(bits: list[int], most: int) -> np.ndarray:
 
 
 def probe_keys(classes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, value, fp): the keys under which each fingerprint is found."""
+    """(part, value, fp, extra): the keys under which each fingerprint is found."""
 
     def run(batches):
         for batch in batches:
-            all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            all_fps, all_extras = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
             for number, (part, t) in enumerate(plan):
                 mask, flips = np.uint64(sum(1 << b for b in part)), _flips(part, (t + 1) // 2)
                 step = max(1, 500_000 // len(flips))
                 for i in range(0, len(all_fps), step):
-                    fps = all_fps[i : i + step]
+                    fps, extras = all_fps[i : i + step], all_extras[i : i + step]
                     values = ((fps & mask)[:, None] ^ flips[None, :]).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), number, np.int32)), pa.array(values.view(np.int64)), pa.array(np.repeat(fps, len(flips)).view(np.int64))], ["part", "value", "fp"])
+                    columns = [np.full(len(values), number, np.int32), values.view(np.int64), np.repeat(fps, len(flips)).view(np.int64), np.repeat(extras, len(flips)).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "value", "fp", "extra"])
+
+    return classes.select("fp", "extra").mapInArrow(run, "part int, value long, fp long, extra long")
 
-    return classes.select("fp").mapInArrow(run, "part int, value long, fp long")
 
+def _near(fps: np.ndarray, extras: np.ndarray, fp, extra, threshold: int, within: int | None) -> np.ndarray:
+    apart = np.bitwise_count(fps ^ fp)
+    if within is None:
+        return apart <= threshold
+    return (apart <= threshold) & (apart + np.bitwise_count(extras ^ extra) <= within)
 
-def _links(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within equal keys (sorted): all of them for few members, else a spanning forest."""
+
+def _links(keys: np.ndarray, fps: np.ndarray, extras: np.ndarray, threshold: int, within: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links within equal keys (sorted): all of them if few, else a spanning forest."""
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((edge, [len(keys)])))
-    a, b = [], []
-    small = np.repeat(size <= 8, size)
-    k, f = keys[small], fps[small]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    small = np.flatnonzero(np.repeat(size <= 8, size))
     for step in range(1, 8):
-        if len(k) <= step:
-            break
-        near = (k[step:] == k[:-step]) & (np.bitwise_count(f[step:] ^ f[:-step]) <= threshold)
-        a.append(f[:-step][near])
-        b.append(f[step:][near])
-    for start, n in zip(edge[size > 8], size[size > 8]):
-        left = fps[start : start + n]
-        while len(left):
-            frontier, left = [left[0]], left[1:]
-            while frontier and len(left):
-                x = frontier.pop()
-                near = np.bitwise_count(left ^ x) <= threshold
+        left, right = small[:-step], small[step:]
+        near = (keys[left] == keys[right]) & _near(fps[left], extras[left], fps[right], extras[right], threshold, within)
+        a.append(left[near])
+        b.append(right[near])
+    for start, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
+        f, x = fps[start : start + n], extras[start : start + n]
+        if n <= 2048:
+            near = np.triu(_near(f[None, :], x[None, :], f[:, None], x[:, None], threshold, within), 1)
+            if np.count_nonzero(near) <= 8 * n:
+                left, right = np.nonzero(near)
+                a.append(left + start)
+                b.append(right + start)
+                continue
+        rest = np.arange(n)
+        while len(rest):
+            frontier, rest = [rest[0]], rest[1:]
+            while frontier and len(rest):
+                at = frontier.pop()
+                near = _near(f[rest], x[rest], f[at], x[at], threshold, within)
                 if near.any():
-                    found = left[near]
-                    a.append(np.full(len(found), x))
-                    b.append(found)
-                    frontier.extend(found)
-                    left = left[~near]
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-def _edge_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    low, high = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
-    pairs = np.unique(np.stack((low, high), 1), axis=0) if len(low) else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                    found = rest[near]
+                    a.append(np.full(len(found), at + start))
+                    b.append(found + start)
+                    frontier.extend(found.tolist())
+                    rest = rest[~near]
+    return np.concatenate(a), np.concatenate(b)
 
 
-def link_classes(classes: DataFrame, threshold: int = 4, hot: int = 20_000) -> DataFrame:
-    """(a, b): links between fingerprints that connect all pairs within `threshold` bits."""
-    spark = classes.sparkSession
+def link_classes(classes: DataFrame, threshold: int = 4, within: int | None = None, hot: int = 20_000) -> DataFrame:
+    """(a, b): links between nodes that connect all pairs within `threshold` bits (and `within` of 128)."""
+    spark, more = classes.sparkSession, within is not None
     n, both = bit_statistics(classes)
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
-    plan = allocate(n, both, threshold)
-    keys = probe_keys(classes, plan)
-    counts = keys.groupBy("part", "value").agg(F.count("*").alias("members")).filter("members > 1")
-    counts = checkpoint(counts)  # repeated keys alone
-    crowded, shared = counts.filter(F.col("members") > hot), counts.filter(F.col("members") <= hot)
+    keys = probe_keys(classes, allocate(n, both, threshold))
+    counts = keys.groupBy("part", "value").agg(F.count("*").alias("members"))
+    crowded = checkpoint(counts.filter(F.col("members") > hot))
+    none_crowded = crowded.isEmpty()
     n_bins = 4 * shuffle_partitions(spark)
-    bins = keys.join(shared.select("part", "value"), ["part", "value"]).select(F.pmod(F.xxhash64("part", "value"), F.lit(n_bins)).cast("int").alias("bin"), "part", "value", "fp")
+    number = F.pmod(F.xxhash64("part", "value", "i", "j"), F.lit(n_bins)).cast("int")
 
     def compare(table: pa.Table) -> pa.Table:
-        part, value = table.column("part").to_numpy(), table.column("value").to_numpy()
-        fps = table.column("fp").to_numpy()
-        order = np.lexsort((fps, value, part))
-        new = np.concatenate(([True], (np.diff(part[order]) != 0) | (np.diff(value[order]) != 0)))
-        return _edge_table(*_links(np.cumsum(new), fps[order].view(np.uint64), threshold))
-
-    edges = bins.groupBy("bin").applyInArrow(compare, "a long, b long").distinct()
-    if crowded.isEmpty():
+        columns = [table.column(c).to_numpy() for c in ("fp", "j", "i", "value", "part")]
+        order = np.lexsort(columns)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns[1:]:
+            new[1:] |= np.diff(c[order]) != 0
+        fps, extras = columns[0][order].view(np.uint64), table.column("extra").to_numpy()[order].view(np.uint64)
+        a, b = _links(np.cumsum(new), fps, extras, threshold, within)
+        nodes = node_of(fps, extras, more)
+        pairs = np.stack((np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])), 1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    def links(rows: DataFrame) -> DataFrame:
+        return rows.select(number.alias("bin"), "part", "value", "i", "j", "fp", "extra").groupBy("bin").applyInArrow(compare, "a long, b long").distinct()
+
+    cold = keys if none_crowded else keys.join(crowded, ["part", "value"], "left_anti")
+    edges = links(cold.withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    if none_crowded:
         return edges
+    warm = keys.join(crowded, ["part", "value"])
+    if more or threshold > 4 or threshold % 2:
+        blocks = F.ceil(F.col("members") / F.lit(hot)).cast("int")
+        own = F.pmod(F.xxhash64("fp", "extra"), blocks).cast("int")
+        dealt = warm.select("part", "value", "fp", "extra", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        return edges.unionAll(links(dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})))
 
     def stars(batches):
         """Each member with all values up to threshold / 2 flips away: who shares one is linked."""
@@ -236,14 +284,26 @@ def link_classes(classes: DataFrame, threshold: int = 4, hot: int = 20_000) -> D
                 values = (some[:, None] ^ near[None, :]).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(near)).view(np.int64)), pa.array(values.view(np.int64))], ["fp", "via"])
 
-    members = keys.join(crowded.select("part", "value"), ["part", "value"]).select("fp").distinct()
-    reached = members.mapInArrow(stars, "fp long, via long")
+    reached = warm.select("fp").distinct().mapInArrow(stars, "fp long, via long")
     first = reached.groupBy("via").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).filter("a <> last").select("via", "a")
     return edges.unionAll(reached.join(first, "via").select("a", F.col("fp").alias("b")).filter("a <> b").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4, hot: int = 20_000) -> DataFrame:
-    """Links documents whose SimHash fingerprints differ in at most `threshold` bits (an even number).
+def bits_for(similarity: float, bits: int, spread: float) -> int:
+    """Bits that texts of a shingle similarity (Jaccard) differ in, and `spread` standard deviations more.
+
+    Texts of equal size that share so much have this angle; each bit differs with its share of pi.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + spread * math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4, similarity: float | None = None, hot: int = 20_000) -> DataFrame:
+    """Links documents whose SimHash fingerprints differ in at most `threshold` bits.
+
+    With `similarity` instead, documents whose shingles are alike by so much or more: candidates
+    within the expected number of bits and one standard deviation, accepted by their distance over
+    128 bits. This is an estimate; about a tenth of the pairs right at the limit are missed.
 
     One row for each input row: doc_id, fingerprint (16 hex digits), component_id (the smallest
     doc_id reachable over links, itself included), class_id (the smallest doc_id with the same
@@ -251,15 +311,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component without any id has a null component_id. Repeated rows are kept; an empty table
     gives no rows.
     """
-    if threshold % 2:
-        raise ValueError("threshold must be even: crowded keys are linked halfway")
-    marked = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    classes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
-    groups = connected_components(link_classes(classes, threshold, hot)).withColumnRenamed("node", "fp")
-    named = classes.join(groups, "fp", "left").select("fp", "class_id", F.coalesce("component", "fp").alias("group"))
+    within = None
+    if similarity is not None:
+        threshold, within = bits_for(similarity, BITS, 1.0), bits_for(similarity, 2 * BITS, 1.0)
+    marked = checkpoint(fingerprints(docs, id_col, text_col, shingle, within is not None))
+    classes = checkpoint(marked.groupBy("node", "fp", "extra").agg(F.min("doc_id").alias("class_id")))
+    groups = connected_components(link_classes(classes, threshold, within, hot))
+    named = classes.join(groups, "node", "left").select("node", "class_id", F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "group").select("fp", "class_id", "component_id")
-    out = marked.join(named, "fp")
+    named = named.join(least, "group").select("node", "class_id", "component_id")
+    out = marked.join(named, "node")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_id")
 
 
@@ -269,6 +330,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without a doc_id are kept when their whole component has none, otherwise dropped. Rows
     that repeat the smallest id of a component are kept as they come.
     """
+    table, names = positional(docs)
+    key = f"_c{names.index(id_col)}"
     found = near_duplicates(docs, id_col, text_col, **options)
-    losers = found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, F.col(id_col).cast("long").eqNullSafe(F.col("_loser")), "left_anti")
+    losers = found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("loser")).distinct()
+    return table.join(losers, F.col(key).cast("long").eqNullSafe(F.col("loser")), "left_anti").toDF(*names)
