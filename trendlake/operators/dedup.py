@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.text import title_key
 
 
-def keep_first(rows: DataFrame, *keys: Column, seq: str = "seq") -> DataFrame:
-    """The row with the least seq of each key; seq is unique. Null keys count as one key."""
+def keep_first(rows: DataFrame, *keys: Column, seq: str = "seq", within: tuple[str, ...] = ()) -> DataFrame:
+    """The row with the least seq of each key. Null keys count as one key.
+
+    within: columns that are part of every key; seq is unique together with them.
+    """
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    first = rows.select(seq, *named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min(seq).alias(seq))
-    return rows.join(first.select(seq), seq, "left_semi")
+    first = rows.select(*within, seq, *named).groupBy(*within, *[f"_k{i}" for i in range(len(keys))]).agg(F.min(seq).alias(seq))
+    return rows.join(first.select(*within, seq), [*within, seq], "left_semi")
 
 
 def dedup_by_url(posts: DataFrame, seq: str = "seq") -> DataFrame:

@@ -8,23 +8,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..operators.dedup import keep_first
-from ..operators.limits import enrich_cap, enrich_missing, first_rows
+from ..operators.limits import first_rows
 from ..operators.posts import with_seq
 from .html_tree import Node, parse
 from .sites import BY_NAME, ENRICHED, REGISTRY, Count, Site
 
 CANDIDATES = "site_rank int, source_site string, page string, pos int, has_title boolean, href string, text string, loose_text string, title_attr string, upvotes_raw string, comments_raw string, views_raw string, image_raw string, error string"
-_NAMES = [c.split(" ")[0] for c in CANDIDATES.split(", ")]
+_ARROW = pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[k]) for n, k in (c.split(" ") for c in CANDIDATES.split(", "))])
 
 
 def _row_nodes(site: Site, root: Node) -> list[Node]:
@@ -139,7 +139,8 @@ def candidates(pages: DataFrame, sites: list[Site] | None = None) -> DataFrame:
     def run(batches):
         for pages_ in batches:
             rows = []
-            for source, url, html in zip(pages_["source"], pages_["url"], pages_["html"]):
+            for page in pages_.to_pylist():
+                source, url, html = page["source"], page["url"], page["html"]
                 if source not in rank:
                     continue
                 same = {"site_rank": rank[source], "source_site": source, "page": url}
@@ -148,9 +149,9 @@ def candidates(pages: DataFrame, sites: list[Site] | None = None) -> DataFrame:
                         rows.append(same | entry)
                 except Exception as e:  # noqa: BLE001  the page's own fault; it is reported, not hidden
                     rows.append(same | {"error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=_NAMES).astype({"has_title": "boolean", "pos": "Int32", "site_rank": "Int32"})
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return pages.select("source", "url", "html").mapInPandas(run, CANDIDATES)
+    return pages.select("source", "url", "html").mapInArrow(run, CANDIDATES)
 
 
 @F.pandas_udf(StringType())
@@ -159,16 +160,42 @@ def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b, h) if h is not None else None for b, h in zip(base, href)])
 
 
-def _url(site: Site, href: Column) -> Column:
-    base = site.base + (site.url_base or "")
-    return {"prefix": lambda: T.absolute(base, href), "always": lambda: F.concat(F.lit(base), href), "verbatim": lambda: href, "join": lambda: join_url(F.lit(base), href), "id": lambda: T.url_by_id(base, href)}[site.url]()
+def _per_site(sites: list[Site], make, default: Column | None = None) -> Column:
+    """An expression that depends on the row's site: one CASE, so that all sites share a plan."""
+    out = None
+    for s in sites:
+        value = make(s)
+        if value is not None:
+            value = value if isinstance(value, Column) else F.lit(value)
+            out = F.when(F.col("source_site") == s.site, value) if out is None else out.when(F.col("source_site") == s.site, value)
+    default = F.lit(None) if default is None else default
+    return default if out is None else out.otherwise(default)
 
 
-def _count(count: Count | None, raw: str) -> Column:
+def _url(site: Site) -> Column:
+    base, href = site.base + (site.url_base or ""), F.col("href")
+    return {"prefix": lambda: T.absolute(base, href), "always": lambda: F.concat(F.lit(base), href), "verbatim": lambda: href, "join": lambda: F.col("_joined"), "id": lambda: T.url_by_id(base, href)}[site.url]()
+
+
+def _title(site: Site) -> Column:
+    title = F.col("text")
+    for step in site.clean:
+        title = getattr(T, step)(title)
+    if site.title_attr:
+        attr = F.coalesce("title_attr", F.lit(""))
+        title = T.first_of(T.strip(attr) if site.strip_attr else attr, title)
+    return title
+
+
+def _key(site: Site) -> Column | None:
+    return {None: None, "href": F.col("href"), "url": F.col("source_url"), "page": T.without_query("source_url"), "title": F.col("title")}[site.key]
+
+
+def _count(count: Count | None, raw: str) -> Column | None:
     if count is None:
-        return F.lit(0).cast("bigint")
+        return None
     source = ("loose_text" if count.attr == "loose" else "text") if count.of_title else raw
-    return F.coalesce(getattr(T, count.parse)(source), F.lit(0).cast("bigint"))
+    return getattr(T, count.parse)(source)
 
 
 SLR_HOST = "media.slrclub.com"
@@ -181,53 +208,47 @@ def body_image(html: Column | str) -> Column:
     return T.with_scheme(F.get(good, 0), empty_is_null=False)
 
 
-def posts_of(site: Site, found: DataFrame, as_of: Column, details: DataFrame | None = None) -> DataFrame:
-    """Posts of one site from its candidates. details: (url, html) of pages that entries link to."""
-    rows = found.filter((F.col("source_site") == site.site) & F.col("error").isNull())
-    if site.raw_limit:
-        rows = rows.filter(F.col("pos") < site.raw_limit)
-    rows = rows.filter("has_title")
-    if site.href_like:
-        rows = rows.filter(F.col("href").rlike(site.href_like))
-    title = F.col("text")
-    for step in site.clean:
-        title = getattr(T, step)(title)
-    if site.title_attr:
-        attr = F.coalesce("title_attr", F.lit(""))
-        title = T.first_of(T.strip(attr) if site.strip_attr else attr, title)
-    rows = rows.withColumns({"title": title, "source_url": _url(site, F.col("href"))})
-    valid = F.length("title") >= site.least
-    if site.key:
-        key = {"href": F.col("href"), "url": F.col("source_url"), "page": T.without_query("source_url"), "title": F.col("title")}[site.key]
-        if site.key == "href":
-            rows = rows.filter("href <> ''")
-        rows = keep_first(rows, F.col("page"), key, seq="pos") if site.mark == "before" else keep_first(rows.filter(valid), F.col("page"), key, seq="pos")
-    rows = rows.filter(valid)
-    if site.limit:
-        rows = first_rows(rows, ["page"], "pos", site.limit)
-    image = (T.with_scheme("image_raw") if site.image_scheme else F.col("image_raw")) if site.image else F.lit(None).cast("string")
+PAGE = ("source_site", "page")
+
+
+def posts_of(found: DataFrame, sites: list[Site], as_of: Column, details: DataFrame | None = None) -> DataFrame:
+    """Posts from candidates of many sites in one plan. details: (url, html) of pages that entries link to.
+
+    The first ENRICHED entries of a list that need a picture are looked up, found or not.
+    """
+    most = max(s.limit or s.raw_limit for s in sites)
+    rows = found.filter(F.col("error").isNull() & F.col("has_title") & (F.col("pos") < _per_site(sites, lambda s: s.raw_limit, F.lit(2**31 - 1))))
+    rows = rows.filter(_per_site(sites, lambda s: F.col("href").rlike(s.href_like) if s.href_like else None, F.lit(True)))
+    rows = rows.filter(_per_site(sites, lambda s: F.col("href") != "" if s.key == "href" else None, F.lit(True)))
+    base = _per_site(sites, lambda s: s.base + (s.url_base or "") if s.url == "join" else None, F.lit("").cast("string"))
+    rows = rows.withColumn("_joined", join_url(base, F.when(base != "", F.col("href"))))
+    rows = rows.withColumns({"title": _per_site(sites, _title), "source_url": _per_site(sites, _url)})
+    valid = F.length("title") >= _per_site(sites, lambda s: s.least, F.lit(0))
+    alone = F.concat(F.lit("#"), F.col("pos").cast("string"))  # a key of its own, for sites that don't dedup at this step
+    before = _per_site(sites, lambda s: F.concat(F.lit("="), _key(s)) if s.key and s.mark == "before" else None, alone)
+    after = _per_site(sites, lambda s: F.concat(F.lit("="), _key(s)) if s.key and s.mark == "after" else None, alone)
+    rows = keep_first(rows, before, seq="pos", within=PAGE).filter(valid)
+    rows = keep_first(rows, after, seq="pos", within=PAGE)
+    place = Window.partitionBy(*PAGE).orderBy("pos")
+    rows = rows.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= most).filter(F.col("_place") <= _per_site(sites, lambda s: s.limit, F.lit(most)))
+    image = _per_site(sites, lambda s: (T.with_scheme("image_raw") if s.image_scheme else F.col("image_raw")) if s.image else None, F.lit(None).cast("string"))
     rows = rows.withColumn("image_url", image)
-    if site.detail and details is not None:
+    if details is not None:
+        needs = _per_site(sites, lambda s: (F.coalesce("image_url", F.lit("")) == "" if s.detail_if_missing else F.lit(True)) if s.detail else None, F.lit(False))
+        few = first_rows(rows.filter(needs).select(*PAGE, "pos", "source_url"), [*PAGE], "pos", ENRICHED)
         pictures = details.select(F.col("url").alias("source_url"), F.col("html").alias("_html"))
-        rows = rows.join(pictures, "source_url", "left")
-        looked_up = body_image("_html") if site.detail == "body" else T.unless_contains(T.og_image("_html"), list(site.reject))
-        rows = rows.withColumn("_looked_up", looked_up)
-        if site.detail_if_missing:
-            rows = enrich_missing(rows, ["page"], "pos", F.col("image_url"), F.col("_looked_up"), ENRICHED)
-        else:
-            rows = enrich_cap(rows, ["page"], "pos", F.col("_looked_up"), ENRICHED)
-    return rows.select(
-        "site_rank", "pos", "title", "source_url", "source_site", F.lit(None).cast("string").alias("content"), "image_url",
-        _count(site.upvotes, "upvotes_raw").alias("upvotes"), _count(site.comments, "comments_raw").alias("comments"), _count(site.views, "views_raw").alias("views"),
-        as_of.alias("created_at"),
-    )
+        seen = _per_site(sites, lambda s: None if not s.detail else body_image("_html") if s.detail == "body" else T.unless_contains(T.og_image("_html"), list(s.reject)))
+        looked_up = few.join(pictures, "source_url", "left").select(*PAGE, "pos", seen.alias("_seen"))
+        rows = rows.join(looked_up, [*PAGE, "pos"], "left").withColumn("image_url", F.coalesce("_seen", "image_url"))
+    zero = F.lit(0).cast("bigint")
+    counts = {name: F.coalesce(_per_site(sites, lambda s, n=name: _count(getattr(s, n), f"{n}_raw"), zero), zero) for name in ("upvotes", "comments", "views")}
+    return rows.withColumns(counts).select("site_rank", "pos", "title", "source_url", "source_site", F.lit(None).cast("string").alias("content"), "image_url", *counts, as_of.alias("created_at"))
 
 
 def extract_posts(pages: DataFrame, as_of: Column, details: DataFrame | None = None, sites: list[Site] | None = None) -> DataFrame:
     """Posts of all registered sites in registry order, with seq."""
     chosen = sites or REGISTRY
-    found = candidates(pages, chosen)
-    return with_seq(reduce(DataFrame.unionByName, [posts_of(s, found, as_of, details) for s in chosen]))
+    return with_seq(posts_of(candidates(pages, chosen), chosen, as_of, details))
 
 
 def extraction_errors(pages: DataFrame, sites: list[Site] | None = None) -> DataFrame:
