@@ -80,16 +80,17 @@ def node_of(fps: np.ndarray, extras: np.ndarray, more: bool) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, more: bool = False) -> DataFrame:
-    """(doc_id, fp, extra, node): the fingerprint of every row's whole text, as signed longs."""
+    """(doc_id, text_id, fp, extra, node): the fingerprint of every row's whole text, as signed longs."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.array([fingerprint(t.as_py(), shingle, more) for t in texts], np.uint64).reshape(-1, 2)
             fps, extras = np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(extras.view(np.int64)), pa.array(node_of(fps, extras, more))], ["doc_id", "fp", "extra", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(extras.view(np.int64)), pa.array(node_of(fps, extras, more))], ["doc_id", "text_id", "fp", "extra", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, extra long, node long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_id long, fp long, extra long, node long")
 
 
 def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One row for each input row: doc_id, fingerprint (16 hex digits), component_id (the smallest
     doc_id reachable over links, itself included), class_id (the smallest doc_id with the same
-    fingerprint). Null and wordless texts have fingerprint 0 and are linked like any other. A
+    fingerprint), text_id (a hash of the text). Null and wordless texts have fingerprint 0 and are linked like any other. A
     component without any id has a null component_id. Repeated rows are kept; an empty table
     gives no rows.
     """
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("group").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "group").select("node", "class_id", "component_id")
     out = marked.join(named, "node")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_id", "text_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -331,7 +332,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that repeat the smallest id of a component are kept as they come.
     """
     table, names = positional(docs)
-    key = f"_c{names.index(id_col)}"
+    key, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     found = near_duplicates(docs, id_col, text_col, **options)
-    losers = found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("loser")).distinct()
-    return table.join(losers, F.col(key).cast("long").eqNullSafe(F.col("loser")), "left_anti").toDF(*names)
+    losers = found.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_id").distinct()
+    same = F.col(key).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_id"))
+    return table.join(losers, same, "left_anti").toDF(*names)

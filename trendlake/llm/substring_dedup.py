@@ -105,6 +105,9 @@ class _Batch:
     def anchors(self):
         """Anchor hashes in order, and whether they lie at two places of this batch."""
         span = self.width - self.gram + 1
+        if not self.valid.any():
+            self.keys, self.own = np.empty(0, np.uint64), np.empty(0, bool)
+            return
         self.g = _grams(self.words, self.gram)
         self.least = _sliding(self.g, span, np.minimum)
         seen = np.where(self.valid, self.least, np.uint64(0))
@@ -115,6 +118,11 @@ class _Batch:
 
     def candidates(self, repeated: np.ndarray):
         """Windows whose anchor is repeated, grouped by their hash."""
+        if not len(self.keys):
+            self.start = self.group = self.first = np.empty(0, np.int64)
+            self.high = self.more = np.empty(0, np.uint64)
+            self.here = np.empty(0, bool)
+            return
         hit = self.keys[repeated | self.own]
         near = np.full(len(self.g), _LAST)
         if len(hit):
