@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from test_sites import DETAILS, PAGES
 from trendlake import queries as Q
 from trendlake.operators.upsert import KeyedTable
 from trendlake.plans.pipeline import process_posts, run
 from trendlake.sources.keywords import extract_keywords
+from trendlake.sources.samples import DETAILS, PAGES
 from trendlake.streaming.posts import activity, first_seen, stream_posts
 
 def as_of():

@@ -19,9 +19,11 @@ from .operators import limits as L
 from .operators import posts as P
 from .operators.upsert import newest
 from .plans.pipeline import process_posts
-from .sources.extract import body_image, join_url, links_function
+from .sources.extract import body_image, extract_posts, join_url, links_function
 from .sources.keywords import danawa, daangn, daum, namuwiki
 from .sources.pages import decode_detected
+from .sources.samples import DETAILS, PAGES
+from .sources.sites import SITES
 
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +453,16 @@ def urljoin(spark, sf_dir):
 @query("SELECT page_id, html FROM pages")
 def decode_bytes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", decode_detected(F.encode("html", "UTF-8")).alias("html"))
+
+
+_EXTRACTED = [(rank, s.site, place, *post) for rank, s in enumerate(SITES) for place, post in enumerate(PAGES[s.site][1])]
+
+
+@query(f"SELECT CAST(site_rank AS INTEGER) AS site_rank, source_site, CAST(place AS BIGINT) AS place, title, source_url, CAST(upvotes AS BIGINT) AS upvotes, CAST(comments AS BIGINT) AS comments, CAST(views AS BIGINT) AS views, image_url FROM {values_sql('site_rank, source_site, place, title, source_url, upvotes, comments, views, image_url', _EXTRACTED)}")
+def extract_sites(spark, sf_dir):
+    """The sample page of each site; its SQL is the posts that should come out."""
+    pages = spark.createDataFrame([(s, f"page of {s}", html) for s, (html, _) in PAGES.items()], "source string, url string, html string")
+    posts = extract_posts(pages, as_of(), spark.createDataFrame(DETAILS, "url string, html string"), SITES)
+    first = posts.groupBy("source_site").agg(F.min("seq").alias("_first"), F.collect_set("seq").alias("_all"))
+    place = F.size(F.filter("_all", lambda x: x < F.col("seq"))).cast("bigint")  # a handful a page
+    return posts.join(first, "source_site").select("site_rank", "source_site", place.alias("place"), "title", "source_url", "upvotes", "comments", "views", "image_url")
