@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..operators.dedup import keep_first
-from ..operators.limits import first_rows
 from ..operators.posts import with_seq
 from .html_tree import Node, parse
 from .sites import BY_NAME, ENRICHED, REGISTRY, Count, Site
@@ -227,19 +225,24 @@ def posts_of(found: DataFrame, sites: list[Site], as_of: Column, details: DataFr
     alone = F.concat(F.lit("#"), F.col("pos").cast("string"))  # a key of its own, for sites that don't dedup at this step
     before = _per_site(sites, lambda s: F.concat(F.lit("="), _key(s)) if s.key and s.mark == "before" else None, alone)
     after = _per_site(sites, lambda s: F.concat(F.lit("="), _key(s)) if s.key and s.mark == "after" else None, alone)
-    rows = keep_first(rows, before, seq="pos", within=PAGE).filter(valid)
-    rows = keep_first(rows, after, seq="pos", within=PAGE)
-    place = Window.partitionBy(*PAGE).orderBy("pos")
-    rows = rows.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= most).filter(F.col("_place") <= _per_site(sites, lambda s: s.limit, F.lit(most)))
+    # A page has some hundred entries at most, so all that follows is windows within pages after one exchange.
+    rows = rows.withColumns({"_before": before, "_after": after}).repartition(*PAGE)
+    first = lambda key: F.min("pos").over(Window.partitionBy(*PAGE, key)) == F.col("pos")
+    rows = rows.withColumn("_first", first("_before")).filter(F.col("_first") & valid)
+    rows = rows.withColumn("_first", first("_after")).filter("_first")
+    in_order = Window.partitionBy(*PAGE).orderBy("pos")
+    rows = rows.withColumn("_place", F.row_number().over(in_order)).filter(F.col("_place") <= most).filter(F.col("_place") <= _per_site(sites, lambda s: s.limit, F.lit(most)))
     image = _per_site(sites, lambda s: (T.with_scheme("image_raw") if s.image_scheme else F.col("image_raw")) if s.image else None, F.lit(None).cast("string"))
     rows = rows.withColumn("image_url", image)
     if details is not None:
         needs = _per_site(sites, lambda s: (F.coalesce("image_url", F.lit("")) == "" if s.detail_if_missing else F.lit(True)) if s.detail else None, F.lit(False))
-        few = first_rows(rows.filter(needs).select(*PAGE, "pos", "source_url"), [*PAGE], "pos", ENRICHED)
-        pictures = details.select(F.col("url").alias("source_url"), F.col("html").alias("_html"))
+        rows = rows.withColumn("_needs", needs)
+        tried = F.col("_needs") & (F.sum(F.col("_needs").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) <= ENRICHED)
+        # What isn't looked up gets a key of its own, which no page has, so that it is spread evenly.
+        rows = rows.withColumn("_tried", tried).withColumn("_lookup", F.when(F.col("_tried"), F.col("source_url")).otherwise(F.concat_ws("#", F.lit(""), "page", F.col("pos").cast("string"))))
         seen = _per_site(sites, lambda s: None if not s.detail else body_image("_html") if s.detail == "body" else T.unless_contains(T.og_image("_html"), list(s.reject)))
-        looked_up = few.join(pictures, "source_url", "left").select(*PAGE, "pos", seen.alias("_seen"))
-        rows = rows.join(looked_up, [*PAGE, "pos"], "left").withColumn("image_url", F.coalesce("_seen", "image_url"))
+        pictures = details.select(F.col("url").alias("_lookup"), F.col("html").alias("_html"))
+        rows = rows.join(pictures, "_lookup", "left").withColumn("image_url", F.when(F.col("_tried"), F.coalesce(seen, "image_url")).otherwise(F.col("image_url")))
     zero = F.lit(0).cast("bigint")
     counts = {name: F.coalesce(_per_site(sites, lambda s, n=name: _count(getattr(s, n), f"{n}_raw"), zero), zero) for name in ("upvotes", "comments", "views")}
     return rows.withColumns(counts).select("site_rank", "pos", "title", "source_url", "source_site", F.lit(None).cast("string").alias("content"), "image_url", *counts, as_of.alias("created_at"))
