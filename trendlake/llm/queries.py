@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier, langid, quality_rules
+from . import compression_classifier, langid, quality_rules, sql
 from .bpe import encode_documents
 from .chat_format import repair_conversations
 from .line_dedup import dedup_lines
@@ -72,14 +72,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_documents(spark, sf_dir))
+    return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_compression_classifier, op5_simhash_dedup, op6_order_minhash, op7_chat_format, op8_bpe_codec, op9_packing, op10_line_dedup, pipeline)}
 
 
-SQL: dict[str, str] = {"op3_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op3_quality_rules": quality_rules.SQL, "op10_line_dedup": sql.LINE_DEDUP}
 
 
 def oracle_sql() -> dict[str, str]:
