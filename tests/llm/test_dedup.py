@@ -205,6 +205,7 @@ def test_allocation_keeps_the_principle():
         assert sum(t + 1 for _, t in plan) == 5
         used = [b for part, _ in plan for b in part]
         assert len(used) == len(set(used))
+        assert sum(1 << len(part) for part, _ in plan) >= simhash_dedup.LEAST_KEYS
     assert any({0, 1} <= set(p) for p in simhash_dedup.correlated_parts(500, bits.T @ bits, 4))
 
 

@@ -34,6 +34,9 @@ BITS = 64
 _SEED = 42
 #: Cost of one probe row against one comparison, both measured in nanoseconds of CPU.
 ROW_COST, COMPARE_COST = 2000.0, 4.0
+#: Keys that a plan has at least, so that comparisons are dealt over many tasks: parts of few bits
+#: need few rows, but their few keys grow with the corpus.
+LEAST_KEYS = 8192
 
 
 def _bits_over_half(hashes: np.ndarray, break_ties: bool = False) -> int:
@@ -146,7 +149,10 @@ def expected_candidates(n: int, both: np.ndarray, part: list[int], t: int) -> fl
 
 
 def allocate(n: int, both: np.ndarray, threshold: int) -> list[tuple[list[int], int]]:
-    """The parts to probe with their thresholds, least in estimated cost over all numbers of parts."""
+    """The parts to probe with their thresholds, least in estimated cost over all numbers of parts.
+
+    One part of all bits comes first and always will do; others must have LEAST_KEYS keys.
+    """
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(1, threshold + 2):
         parts = correlated_parts(n, both, m)
@@ -163,8 +169,11 @@ def allocate(n: int, both: np.ndarray, threshold: int) -> list[tuple[list[int],
                     if key not in new or more < new[key][0]:
                         new[key] = (more, chosen + [(part, t)] * (t >= 0))
             state = new
-        if threshold + 1 in state and (best is None or state[threshold + 1][0] < best[0]):
-            best = state[threshold + 1]
+        if threshold + 1 not in state:
+            continue
+        cost, chosen = state[threshold + 1]
+        if best is None or (sum(1 << len(p) for p, _ in chosen) >= LEAST_KEYS and cost < best[0]):
+            best = cost, chosen
     return best[1]
 
 
