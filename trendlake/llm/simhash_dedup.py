@@ -243,6 +243,22 @@ def _links(keys: np.ndarray, fps: np.ndarray, extras: np.ndarray, threshold: int
     return np.concatenate(a), np.concatenate(b)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as a[i] - b[i], one for each node but the least of each component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[moved]], nodes[moved]
+
+
 def link_classes(classes: DataFrame, threshold: int = 4, within: int | None = None, hot: int = 20_000) -> DataFrame:
     """(a, b): links between nodes that connect all pairs within `threshold` bits (and `within` of 128)."""
     spark, more = classes.sparkSession, within is not None
@@ -266,9 +282,8 @@ def link_classes(classes: DataFrame, threshold: int = 4, within: int | None = No
         fps, extras = columns[0][order].view(np.uint64), table.column("extra").to_numpy()[order].view(np.uint64)
         a, b = _links(np.cumsum(new), fps, extras, threshold, within)
         nodes = node_of(fps, extras, more)
-        pairs = np.stack((np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])), 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        low, high = _forest(nodes[a], nodes[b])  # over all keys of the bin
+        return pa.table({"a": pa.array(low), "b": pa.array(high)})
 
     def links(rows: DataFrame) -> DataFrame:
         return rows.select(number.alias("bin"), "part", "value", "i", "j", "fp", "extra").groupBy("bin").applyInArrow(compare, "a long, b long").distinct()
