@@ -73,3 +73,11 @@ def test_groups_compared_by_blocks(spark, monkeypatch):
     whole = kept(spark, rows)
     monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", 400)
     assert kept(spark, rows) == whole >= brute_kept(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.81, 0.83, 0.86])
+def test_texts_over_the_limit_are_found(spark, similarity):
+    """Three standard deviations of the bits: a few in a hundred may be no candidates, never a quarter."""
+    rows = pairs(similarity, 100, 13)
+    want, got = brute_kept(rows), kept(spark, rows)
+    assert len(want) == 100 and want <= got and len(got - want) <= 3

@@ -421,9 +421,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Links documents whose SimHash fingerprints differ in at most `threshold` bits.
 
     With `similarity` instead, documents whose sets of shingles have a Jaccard similarity of so much
-    or more: groups of candidates within the expected number of bits and one standard deviation, over
-    64 and 128 bits, whose pairs are then compared exactly. About a quarter of the pairs right at the
-    limit are missed, as they are no candidates.
+    or more: groups of candidates within the expected number of bits and three standard deviations,
+    over 64 and 128 bits, whose pairs are then compared exactly. Of the pairs right at the limit
+    about one in a hundred is no candidate, which is missed unless a chain joins it.
 
     One row for each input row: doc_id, fingerprint (16 hex digits), component_id (the smallest
     doc_id reachable over links, itself included), class_id (the smallest doc_id with the same
@@ -433,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     within = None
     if similarity is not None:
-        threshold, within = bits_for(similarity, BITS, 1.0), bits_for(similarity, 2 * BITS, 1.0)
+        threshold, within = bits_for(similarity, BITS, 3.0), bits_for(similarity, 2 * BITS, 3.0)
     marked = checkpoint(fingerprints(docs, id_col, text_col, shingle, within is not None))
     classes = checkpoint(marked.groupBy("node", "fp", "extra").agg(F.min("doc_id").alias("class_id")))
     groups = connected_components(link_classes(classes, threshold, within, hot))
