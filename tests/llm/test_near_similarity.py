@@ -81,3 +81,12 @@ def test_texts_over_the_limit_are_found(spark, similarity):
     rows = pairs(similarity, 100, 13)
     want, got = brute_kept(rows), kept(spark, rows)
     assert len(want) == 100 and want <= got and len(got - want) <= 3
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    r, rows = random.Random(14), []
+    for k, times in enumerate([3, 5, 10, 30] * 10):
+        words, line = made(r, 304), made(r, 10)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:150] + line * times + words[150:]))]
+    want = brute_kept(rows)
+    assert len(want) == 40 and kept(spark, rows) == want

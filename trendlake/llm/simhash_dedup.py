@@ -79,7 +79,7 @@ def shingle_hashes(text: bytes | None, shingle: int = 4) -> np.ndarray:
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, more: bool = False) -> tuple[int, int, int, int]:
-    """SimHash of a text's word shingles, repeats included; if `more`, 64 further bits of it and the set's hash and size.
+    """SimHash of a text's word shingles, repeats included; if `more`, of its distinct shingles, with 64 further bits and the set's hash and size.
 
     All are 0 without words.
     """
@@ -89,7 +89,7 @@ def fingerprint(text: bytes | None, shingle: int = 4, more: bool = False) -> tup
     if not more:
         return _bits_over_half(hashes), 0, 0, 0
     distinct = np.unique(hashes)
-    return _bits_over_half(hashes), _bits_over_half(_mixed(hashes), True), xxhash.xxh64_intdigest(distinct.tobytes(), _SEED), len(distinct)
+    return _bits_over_half(distinct), _bits_over_half(_mixed(distinct), True), xxhash.xxh64_intdigest(distinct.tobytes(), _SEED), len(distinct)
 
 
 def node_of(fps: np.ndarray, extras: np.ndarray, more: bool) -> np.ndarray:
