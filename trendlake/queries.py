@@ -326,13 +326,13 @@ def enrich_cap_conditional(spark, sf_dir):
 
 @query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id * 1000 + pos) = 1 AND {_VALID_SQL}")
 def mark_before(spark, sf_dir):
-    rows = anchors_view(spark, sf_dir).withColumn("seq", F.col("page_id") * 1000 + F.col("pos"))
+    rows = anchors_view(spark, sf_dir).withColumn("seq", F.shiftleft(F.col("page_id"), 32) + F.col("pos"))
     return D.first_marked_before(rows, F.expr(_VALID), F.col("href")).select("page_id", "pos", "href", "text")
 
 
 @query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a WHERE {_VALID_SQL} QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id * 1000 + pos) = 1")
 def mark_after(spark, sf_dir):
-    rows = anchors_view(spark, sf_dir).withColumn("seq", F.col("page_id") * 1000 + F.col("pos"))
+    rows = anchors_view(spark, sf_dir).withColumn("seq", F.shiftleft(F.col("page_id"), 32) + F.col("pos"))
     return D.first_marked_after(rows, F.expr(_VALID), F.col("href")).select("page_id", "pos", "href", "text")
 
 
