@@ -130,3 +130,29 @@ def test_keywords_keep_the_old_list_when_nothing_is_found(spark, tmp_path):
 def test_reading_a_table_that_is_not_there(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         KeyedTable(spark, str(tmp_path / "none"), "k").read()
+
+
+def test_one_scan_for_each_dedup_chain(spark, tmp_path):
+    posts(spark, [(0, "a", "x")]).write.parquet(str(tmp_path / "p"))
+    plan = D.dedup(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    a, b = (KeyedTable(spark, str(tmp_path / "t"), "k") for _ in "ab")
+    a.upsert(make([("a", 1)]))
+    version, _ = b.manifest.newest()
+    a.upsert(make([("b", 2)]))
+    assert not b.manifest.publish(version, [])  # b looked before a's second write
+    b.upsert(make([("c", 3)]))
+    assert {(r["k"], r["v"]) for r in a.read().collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def test_empty_batches_of_partitioned_tables(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), "k", ["v"])
+    make = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    assert t.upsert(make([])) == 0 and t.generations() == []
+    t.upsert(make([("a", 1)]))
+    assert t.upsert(make([])) == 0 and t.read().count() == 1
+

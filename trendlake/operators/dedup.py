@@ -1,8 +1,8 @@
 """Keep-first dedup.
 
-The first row of each key is found by an aggregate, which combines before the shuffle, and the
-rows are then matched by their unique position. So one key may hold any share of the rows: no
-task ever sees all rows of a key, as it would with a window.
+The first row of each key comes from one aggregate over the input, the row with the least seq. It
+combines before the shuffle, so a key may hold any share of the rows: a task passes on at most one
+row of it, no task ever sees them all, and the input is read once.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ def keep_first(rows: DataFrame, *keys: Column, seq: str = "seq", within: tuple[s
 
     within: columns that are part of every key; seq is unique together with them.
     """
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    first = rows.select(*within, seq, *named).groupBy(*within, *[f"_k{i}" for i in range(len(keys))]).agg(F.min(seq).alias(seq))
-    return rows.join(first.select(*within, seq), [*within, seq], "left_semi")
+    named = [k.alias(f"_k{i}") for i, k in enumerate([*map(F.col, within), *keys])]
+    packed = F.struct(*[F.col(c) for c in rows.columns])
+    first = rows.groupBy(*named).agg(F.min_by(packed, F.col(seq)).alias("_row"))
+    return first.select("_row.*")
 
 
 def dedup_by_url(posts: DataFrame, seq: str = "seq") -> DataFrame:

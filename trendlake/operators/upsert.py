@@ -8,10 +8,13 @@ its name is in the manifest.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import POST_TABLE
+from .manifest import Manifest
 
 
 class KeyedTable:
@@ -19,37 +22,30 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, key: str, partition_by: list[str] | None = None):
         self.spark, self.path, self.key, self.partition_by = spark, path.rstrip("/"), key, partition_by or []
-
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self.manifest = Manifest(spark, path)
 
     def generations(self) -> list[tuple[int, str]]:
         """(number, name) of the generations that count, oldest first."""
-        if not self._exists():
-            return []
-        newest = self.spark.read.parquet(f"{self.path}/manifest").orderBy(F.desc("version")).first()
-        return [(n, name) for n, name in zip(newest["numbers"], newest["names"])]
-
-    def _publish(self, generations: list[tuple[int, str]]) -> None:
-        version = self.spark.read.parquet(f"{self.path}/manifest").count() if self._exists() else 0
-        row = [(version, [n for n, _ in generations], [name for _, name in generations])]
-        self.spark.createDataFrame(row, "version long, numbers array<long>, names array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        return [(n, name) for n, name in self.manifest.newest()[1] or []]
 
-    def _write(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+    def _write(self, rows: DataFrame, kind: str) -> tuple[str, int]:
+        """A new generation that doesn't count yet: its name, and how many rows its files hold."""
+        name = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        return name, self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}").count()
 
     def upsert(self, batch: DataFrame, order: Column | None = None) -> int:
-        """Adds or replaces rows; the last by `order` wins within the batch. Gives the rows written."""
-        if batch.isEmpty():
-            return 0
-        rows = newest(batch, self.key, order if order is not None else F.lit(0))
-        known = self.generations()
-        number = max((n for n, _ in known), default=-1) + 1
-        name = f"g{number:08d}"
-        self._write(rows, name)
-        self._publish([*known, (number, name)])
-        return self.spark.read.parquet(f"{self.path}/{name}").count()
+        """Adds or replaces rows; the last by `order` wins within the batch. Gives the rows written.
+
+        The batch's plan runs once. A batch without rows leaves the table as it is.
+        """
+        name, written = self._write(newest(batch, self.key, order if order is not None else F.lit(0)), "g")
+        while written:
+            version, known = self.manifest.newest()
+            number = max((n for n, _ in known or []), default=-1) + 1
+            if self.manifest.publish(version, [*(known or []), [number, name]]):
+                break
+        return written
 
     def read(self) -> DataFrame:
         """The newest row of each key."""
@@ -62,12 +58,17 @@ class KeyedTable:
         return newest(rows, self.key, F.col("_generation")).drop("_generation")
 
     def compact(self) -> None:
-        known = self.generations()
-        if len(known) > 1:
-            number = known[-1][0]
-            name = f"c{number:08d}"
-            self._write(self.read(), name)
-            self._publish([(number, name)])
+        """Merges the generations that count now; those added meanwhile stay beside the merged one."""
+        old = self.generations()
+        if len(old) < 2:
+            return
+        name, _ = self._write(self.read(), "c")
+        while True:
+            version, known = self.manifest.newest()
+            if [list(g) for g in known[: len(old)]] != [list(g) for g in old]:
+                return  # another compaction was first
+            if self.manifest.publish(version, [[old[-1][0], name], *known[len(old) :]]):
+                return
 
 
 def newest(rows: DataFrame, key: str, order: Column) -> DataFrame:
