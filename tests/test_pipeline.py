@@ -35,6 +35,16 @@ def test_run_twice_is_run_once(spark, tmp_path):
     assert set(posts.read().columns) == {"title", "source_url", "source_site", "content", "image_url", "upvotes", "comments", "views", "score", "created_at", "collected_at"}
 
 
+def test_a_run_on_nothing(spark, tmp_path):
+    pages = spark.createDataFrame([("clien", "u", None, "timed out")], "source string, url string, html string, error string")
+    keyword_pages = spark.createDataFrame([("daum", None, "timed out")], "source string, html string, error string")
+    posts, cache = KeyedTable(spark, str(tmp_path / "posts"), "source_url"), KeyedTable(spark, str(tmp_path / "cache"), "source")
+    report = run(pages, keyword_pages, posts, cache, as_of())
+    assert (report.collected, report.deduplicated, report.kept, report.saved, report.keywords_saved) == (0, 0, 0, 0, 0)
+    assert report.errors == [("clien", "timed out"), ("daum", "timed out")]
+    assert posts.generations() == cache.generations() == []
+
+
 def test_keywords(spark):
     got = {r["source"]: r for r in extract_keywords(spark.createDataFrame(KEYWORDS, "source string, html string")).collect()}
     assert [tuple(k) for k in got["daum"]["keywords"]] == [("k1", "https://search.daum.net/search?q=k1"), ("k 2", "https://search.daum.net/search?q=k%202")]

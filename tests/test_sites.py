@@ -1,14 +1,18 @@
 """Every site's extraction on a small page made for it."""
 
+import gzip
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from trendlake.sources import extract as E
 from trendlake.sources.html_tree import parse
-from trendlake.sources.pages import _Reader, decode, decode_pages, fetch
+from trendlake.sources.pages import _plain, _Reader, decode, decode_pages, fetch, fetch_pages
 from trendlake.sources.samples import DETAILS, OG, PAGES
 from trendlake.sources.sites import BY_NAME, REGISTRY, SITES
 
+
 @pytest.fixture(scope="module")
 def found(spark):
     pages = spark.createDataFrame([(s, f"page of {s}", html) for s, (html, _) in PAGES.items()], "source string, url string, html string")
@@ -59,7 +63,7 @@ def test_charsets(spark):
     assert decode(text.encode()) == text
     assert decode(b"\xff\xfea", "utf-8") == "��a"
     rows = spark.createDataFrame([("mlbpark", "u", b"a\xffb"), ("humoruniv", "v", text.encode("euc-kr")), ("clien", "w", None)], "source string, url string, body binary")
-    assert {r["source"]: r["html"] for r in decode_pages(rows).collect()} == {"mlbpark": "a�b", "humoruniv": text}
+    assert {r["source"]: r["html"] for r in decode_pages(rows).collect()} == {"mlbpark": "a�b", "humoruniv": text, "clien": None}
 
 
 def test_fetch_tries_again(tmp_path):
@@ -90,3 +94,30 @@ def test_tree():
     assert [n.text() for n in root.select('.z, p[title^="q"]')] == ["three", "four"]
     assert root.select_one("p[title*='/']").text() == "four"
     assert BY_NAME["clien"].base == "https://www.clien.net"
+
+
+def test_details_are_asked_for_within_the_caps(spark):
+    pages = spark.createDataFrame([(s, f"page of {s}", html) for s, (html, _) in PAGES.items()], "source string, url string, html string")
+    got = E.detail_requests(E.candidates(pages)).collect()
+    assert got and {r["source"] for r in got} <= {s.site for s in SITES if s.detail and s.enabled}
+    per = {}
+    for r in got:
+        per[r["source"]] = per.get(r["source"], 0) + 1
+    assert max(per.values()) <= 10
+    links = [f"<tr><td class='subject'><a href='/view.php?no={i}'>a title {i}</a></td><td>1</td><td>2</td></tr>" for i in range(25)]
+    many = spark.createDataFrame([("todayhumor", "p", "<table>" + "".join(links) + "</table>")], "source string, url string, html string")
+    assert E.detail_requests(E.candidates(many)).count() == 10
+
+
+def test_pages_found_later_are_fetched_and_failures_are_rows(spark, tmp_path):
+    (tmp_path / "a").write_bytes("<p>가</p>".encode("cp949"))
+    requests = [("slrclub", (tmp_path / "a").as_uri()), ("slrclub", (tmp_path / "none").as_uri())]
+    got = decode_pages(fetch_pages(spark.createDataFrame(requests, "source string, url string"))).collect()
+    assert sorted((r["html"], bool(r["error"])) for r in got if r["html"]) == [("<p>가</p>", False)]
+    assert [bool(r["error"]) for r in got if r["html"] is None] == [True]
+    errors = E.extraction_errors(spark.createDataFrame([("clien", "u", None, "timed out")], "source string, url string, html string, error string")).collect()
+    assert [(r["source_site"], r["error"]) for r in errors] == [("clien", "timed out")]
+
+
+def test_compressed_bodies():
+    assert _plain(gzip.compress(b"x"), "gzip") == b"x" and _plain(zlib.compress(b"x"), "deflate") == b"x" and _plain(b"x", None) == b"x"

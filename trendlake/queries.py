@@ -19,7 +19,7 @@ from .operators import limits as L
 from .operators import posts as P
 from .operators.upsert import newest
 from .plans.pipeline import process_posts
-from .sources.extract import body_image, extract_posts, join_url, links_function
+from .sources.extract import body_image, extract_posts, join_url, page_links
 from .sources.keywords import danawa, daangn, daum, namuwiki
 from .sources.pages import decode_detected
 from .sources.samples import DETAILS, PAGES
@@ -440,9 +440,7 @@ def percent_unquote(spark, sf_dir):
 
 @query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a")
 def html_udtf_anchors(spark, sf_dir):
-    links_function(spark)
-    table(spark, sf_dir, "pages").createOrReplaceTempView("_trendlake_pages")
-    return spark.sql("SELECT page_id, CAST(l.pos AS BIGINT) AS pos, l.href, l.text FROM _trendlake_pages, LATERAL page_links(html) l")
+    return page_links(table(spark, sf_dir, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query()

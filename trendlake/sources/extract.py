@@ -12,7 +12,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -127,7 +127,7 @@ def entries(site: Site, html: str) -> Iterator[dict]:
 
 
 def candidates(pages: DataFrame, sites: list[Site] | None = None) -> DataFrame:
-    """(source, url, html) pages to candidate entries.
+    """(source, url, html) pages to candidate entries; an `error` column says why a page has no html.
 
     What fails in a page ends that page alone: its earlier entries stay, and a row with `error`
     and no position says why.
@@ -137,11 +137,13 @@ def candidates(pages: DataFrame, sites: list[Site] | None = None) -> DataFrame:
     def run(batches):
         for pages_ in batches:
             rows = []
-            for page in pages_.to_pylist():
-                source, url, html = page["source"], page["url"], page["html"]
+            for source, url, html, failed in zip(*(c.to_pylist() for c in pages_.columns)):
                 if source not in rank:
                     continue
                 same = {"site_rank": rank[source], "source_site": source, "page": url}
+                if failed is not None:
+                    rows.append(same | {"error": failed})
+                    continue
                 try:
                     for entry in entries(BY_NAME[source], html):
                         rows.append(same | entry)
@@ -149,7 +151,8 @@ def candidates(pages: DataFrame, sites: list[Site] | None = None) -> DataFrame:
                     rows.append(same | {"error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return pages.select("source", "url", "html").mapInArrow(run, CANDIDATES)
+    failed = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    return pages.select("source", "url", "html", failed.alias("error")).mapInArrow(run, CANDIDATES)
 
 
 @F.pandas_udf(StringType())
@@ -209,10 +212,11 @@ def body_image(html: Column | str) -> Column:
 PAGE = ("source_site", "page")
 
 
-def posts_of(found: DataFrame, sites: list[Site], as_of: Column, details: DataFrame | None = None) -> DataFrame:
-    """Posts from candidates of many sites in one plan. details: (url, html) of pages that entries link to.
+def listed(found: DataFrame, sites: list[Site]) -> DataFrame:
+    """The entries of lists that become posts, from candidates of many sites in one plan.
 
-    The first ENRICHED entries of a list that need a picture are looked up, found or not.
+    `_tried` marks those whose own page is to be looked up for a picture: the first ENRICHED
+    entries of a list that need one.
     """
     most = max(s.limit or s.raw_limit for s in sites)
     rows = found.filter(F.col("error").isNull() & F.col("has_title") & (F.col("pos") < _per_site(sites, lambda s: s.raw_limit, F.lit(2**31 - 1))))
@@ -234,14 +238,27 @@ def posts_of(found: DataFrame, sites: list[Site], as_of: Column, details: DataFr
     rows = rows.withColumn("_place", F.row_number().over(in_order)).filter(F.col("_place") <= most).filter(F.col("_place") <= _per_site(sites, lambda s: s.limit, F.lit(most)))
     image = _per_site(sites, lambda s: (T.with_scheme("image_raw") if s.image_scheme else F.col("image_raw")) if s.image else None, F.lit(None).cast("string"))
     rows = rows.withColumn("image_url", image)
+    needs = _per_site(sites, lambda s: (F.coalesce("image_url", F.lit("")) == "" if s.detail_if_missing else F.lit(True)) if s.detail else None, F.lit(False))
+    rows = rows.withColumn("_needs", needs)
+    return rows.withColumn("_tried", F.col("_needs") & (F.sum(F.col("_needs").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) <= ENRICHED))
+
+
+def detail_requests(found: DataFrame, sites: list[Site] | None = None) -> DataFrame:
+    """(source, url): the pages to fetch for pictures, from candidates; each once."""
+    return listed(found, sites or REGISTRY).filter("_tried").select(F.col("source_site").alias("source"), F.col("source_url").alias("url")).distinct()
+
+
+def posts_of(found: DataFrame, sites: list[Site], as_of: Column, details: DataFrame | None = None) -> DataFrame:
+    """Posts from candidates. details: (url, html) of the pages that detail_requests names.
+
+    An entry whose page could not be had keeps the picture of the list, if any.
+    """
+    rows = listed(found, sites)
     if details is not None:
-        needs = _per_site(sites, lambda s: (F.coalesce("image_url", F.lit("")) == "" if s.detail_if_missing else F.lit(True)) if s.detail else None, F.lit(False))
-        rows = rows.withColumn("_needs", needs)
-        tried = F.col("_needs") & (F.sum(F.col("_needs").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) <= ENRICHED)
         # What isn't looked up gets a key of its own, which no page has, so that it is spread evenly.
-        rows = rows.withColumn("_tried", tried).withColumn("_lookup", F.when(F.col("_tried"), F.col("source_url")).otherwise(F.concat_ws("#", F.lit(""), "page", F.col("pos").cast("string"))))
+        rows = rows.withColumn("_lookup", F.when(F.col("_tried"), F.col("source_url")).otherwise(F.concat_ws("#", F.lit(""), "page", F.col("pos").cast("string"))))
         seen = _per_site(sites, lambda s: None if not s.detail else body_image("_html") if s.detail == "body" else T.unless_contains(T.og_image("_html"), list(s.reject)))
-        pictures = details.select(F.col("url").alias("_lookup"), F.col("html").alias("_html"))
+        pictures = details.groupBy(F.col("url").alias("_lookup")).agg(F.min("html").alias("_html"))
         rows = rows.join(pictures, "_lookup", "left").withColumn("image_url", F.when(F.col("_tried"), F.coalesce(seen, "image_url")).otherwise(F.col("image_url")))
     zero = F.lit(0).cast("bigint")
     counts = {name: F.coalesce(_per_site(sites, lambda s, n=name: _count(getattr(s, n), f"{n}_raw"), zero), zero) for name in ("upvotes", "comments", "views")}
@@ -258,20 +275,24 @@ def extraction_errors(pages: DataFrame, sites: list[Site] | None = None) -> Data
     return candidates(pages, sites).filter(F.col("error").isNotNull()).select("source_site", "page", "error")
 
 
-class _Links:
-    """All links of a page with their position and text: a table function over one page."""
-
-    def eval(self, html: str):
-        if html is not None:
-            for pos, node in enumerate(n for n in parse(html).walk() if n.tag == "a" and "href" in n.attrs):
-                yield pos, node.attrs["href"], node.text()
-
+def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, pos, href, text): all links of each page in order, by the tree; a batch of pages at a time."""
 
-def links_function(spark: SparkSession):
-    """Registers page_links(html) -> (pos, href, text) and gives it."""
-    made = F.udtf(_Links, returnType="pos int, href string, text string")
-    spark.udtf.register("page_links", made)
-    return made
-
-
-__all__ = ["body_image", "candidates", "entries", "extract_posts", "extraction_errors", "join_url", "links_function", "posts_of"]
+    def run(batches):
+        for batch in batches:
+            owner, pos, href, text = [], [], [], []
+            for at, html in enumerate(batch.column(1).to_pylist()):
+                if html is not None:
+                    for place, node in enumerate(n for n in parse(html).walk() if n.tag == "a" and "href" in n.attrs):
+                        owner.append(at)
+                        pos.append(place)
+                        href.append(node.attrs["href"])
+                        text.append(node.text())
+            keys = batch.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int32()), pa.array(href, pa.string()), pa.array(text, pa.string())], [key, "pos", "href", "text"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, "html").mapInArrow(run, f"{key} {kind}, pos int, href string, text string")
+
+
+__all__ = ["body_image", "candidates", "detail_requests", "entries", "extract_posts", "extraction_errors", "join_url", "listed", "page_links", "posts_of"]

@@ -87,11 +87,13 @@ EXTRACTORS: dict[str, Callable[[Column], tuple[Column, Column]]] = {"danawa": da
 
 
 def extract_keywords(pages: DataFrame) -> DataFrame:
-    """(source, html) to (source, source_rank, keywords, error); a failing source doesn't stop others."""
+    """(source, html[, error]) to (source, source_rank, keywords, error); a failing source doesn't stop others."""
     items, error = F.lit(None).cast(_TYPE), F.lit(None).cast("string")
     for name in reversed(SOURCES):
         found, wrong = EXTRACTORS[name](F.col("html"))
         mine = F.col("source") == name
         items, error = F.when(mine, found).otherwise(items), F.when(mine, wrong).otherwise(error)
+    if "error" in pages.columns:  # why there is no page
+        error = F.coalesce(F.col("error"), error)
     rank = F.array_position(F.lit(SOURCES), F.col("source")).cast("int") - 1
     return pages.filter(F.col("source").isin(SOURCES)).select("source", rank.alias("source_rank"), F.when(error.isNull(), items).alias("keywords"), error.alias("error"))

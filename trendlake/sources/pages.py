@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import re
 import time
 import urllib.request
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,6 +27,14 @@ HEADERS = {
     "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/121.0.0.0 Safari/537.36",
     "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,*/*;q=0.8",
     "Accept-Language": "ko-KR,ko;q=0.9,en-US;q=0.8,en;q=0.7",
+    "Sec-Ch-Ua": '"Not A(Brand";v="99", "Google Chrome";v="121", "Chromium";v="121"',
+    "Sec-Ch-Ua-Mobile": "?0",
+    "Sec-Ch-Ua-Platform": '"Windows"',
+    "Sec-Fetch-Dest": "document",
+    "Sec-Fetch-Mode": "navigate",
+    "Sec-Fetch-Site": "none",
+    "Sec-Fetch-User": "?1",
+    "Upgrade-Insecure-Requests": "1",
 }
 SCHEMA = "source string, url string, body binary, error string"
 
@@ -34,13 +45,21 @@ class _Request(InputPartition):
         self.source, self.url, self.kind, self.headers = source, url, kind, headers
 
 
+def _plain(body: bytes, encoding: str | None) -> bytes:
+    """The body as it was before the server compressed it."""
+    kind = (encoding or "").strip().lower()
+    if kind in ("gzip", "x-gzip"):
+        return gzip.decompress(body)
+    return zlib.decompress(body) if kind == "deflate" else body
+
+
 def fetch(url: str, kind: str, headers: dict[str, str], pause=time.sleep) -> bytes:
     """The body; tries again after any failure, and raises the last one."""
     for attempt in range(ATTEMPTS[kind]):
         pause(DELAY[kind])
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=HEADERS | headers), timeout=TIMEOUT[kind]) as response:
-                return response.read()
+                return _plain(response.read(), response.headers.get("Content-Encoding"))
         except Exception:
             if attempt + 1 == ATTEMPTS[kind]:
                 raise
@@ -88,6 +107,29 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(HttpPages)
 
 
+def fetch_pages(requests: DataFrame, kind: str = "detail") -> DataFrame:
+    """(source, url) to (source, url, body, error), for addresses that an earlier step found.
+
+    Requests to one source go out one after the other, in one task; sources side by side. A failure
+    is a row. The result is not stored: a reader that needs it twice should checkpoint it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sources, urls = (c.to_pylist() for c in batch.columns)
+            bodies, errors = [], []
+            for source, url in zip(sources, urls):
+                try:
+                    bodies.append(fetch(url, kind, EXTRA_HEADERS.get(source, {})))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  it is reported, and must not end the others
+                    bodies.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary()), pa.array(errors, pa.string())], ["source", "url", "body", "error"])
+
+    return requests.select("source", "url").repartition("source").mapInArrow(run, SCHEMA)
+
+
 _META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([\w-]+)""", re.IGNORECASE)
 
 
@@ -112,10 +154,16 @@ def decode_detected(bodies: pd.Series) -> pd.Series:
 
 
 def decode_pages(pages: DataFrame) -> DataFrame:
-    """(source, url, body) to (source, url, html). UTF-8 sites stay in the JVM; others are detected."""
+    """(source, url, body[, error]) to (source, url, html, error). UTF-8 sites stay in the JVM; others are detected.
+
+    A page that could not be had stays a row, without html and with its error.
+    """
     forced = [s.site for s in REGISTRY if s.charset == "utf-8"]
     utf8 = F.make_valid_utf8(F.col("body").cast("string"))
-    return pages.filter(F.col("body").isNotNull()).select("source", "url", F.when(F.col("source").isin(forced), utf8).otherwise(decode_detected("body")).alias("html"))
+    html = F.when(F.col("source").isin(forced), utf8).otherwise(decode_detected("body"))
+    failed = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    error = F.when(F.col("body").isNull(), F.coalesce(failed, F.lit("no body")))
+    return pages.select("source", "url", html.alias("html"), error.alias("error"))
 
 
 def pages_at_rest(spark: SparkSession, path: str, source: str) -> DataFrame:
