@@ -109,6 +109,41 @@ def test_substring_index_over_batches(spark, edge_docs, tmp_path):
     assert taken(index.dedup(make(newer)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_whole_tables_through_an_index(spark, edge_docs, no_docs, tmp_path):
+    for i, shares in enumerate([(1 / 16, 1 / 8), (0.3, 0.5, 0.9), (1.0,)]):
+        out = substring_dedup.dedup_in_batches(edge_docs, str(tmp_path / f"i{i}"), shares)
+        assert taken(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(source(edge_docs))
+    assert substring_dedup.dedup_in_batches(no_docs, str(tmp_path / "none")).count() == 0
+
+
+def test_parameters_of_an_index_are_kept(spark, edge_docs, tmp_path):
+    index = SubstringIndex(spark, str(tmp_path / "i"), width=7, gram=3, n_buckets=6)
+    index.append(edge_docs)
+    index.compact()
+    again = SubstringIndex(spark, str(tmp_path / "i"), width=7, gram=3)
+    assert again.n_buckets == 6
+    for other in ({"width": 8, "gram": 3}, {"width": 7, "gram": 3, "n_buckets": 5}):
+        with pytest.raises(ValueError):
+            SubstringIndex(spark, str(tmp_path / "i"), **other)
+    plan = runs_plan(again, edge_docs)
+    assert "Bucketed: true" in plan
+
+
+def runs_plan(index, docs):
+    return index.dedup(docs)._jdf.queryExecution().toString()
+
+
+def test_a_crowd_of_lines_over_many_batches(spark):
+    """One line in most rows, more rows than a batch, repeated lines within a document."""
+    rows = [(i, "\n".join(["a line that all have", f"own line number {i}", "a line that all have"][: 1 + i % 3])) for i in range(700)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert taken(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_lines(edge_docs):
     got = taken(line_dedup.dedup_lines(edge_docs), "doc_id", "n_lines", "n_dropped", "kept_sha256")
     assert got == brute_lines(source(edge_docs))
@@ -121,8 +156,9 @@ def test_line_bitmaps_and_documents(edge_docs):
     digests = Counter((r["doc_id"], sha(r["text"] or "")) for r in out.collect())
     assert digests == Counter((k[0], k[3]) for k, n in brute_lines(source(edge_docs)).items() for _ in range(n))
     for r in line_dedup.dedup_lines(edge_docs).collect():
-        bits = np.unpackbits(np.frombuffer(r["keep_bitmap"], np.uint8), count=r["n_lines"])
-        assert bits.sum() == r["n_lines"] - r["n_dropped"]
+        bits = line_dedup.bitmap(r["keep_runs"])
+        assert len(bits) == r["n_lines"] and bits.sum() == r["n_lines"] - r["n_dropped"]
+        assert line_dedup.run_lengths(bits) == r["keep_runs"]
 
 
 def brute_near(rows, threshold=4):
@@ -177,9 +213,9 @@ def test_links_of_clustered_fingerprints(spark):
             out.append(frozenset(group))
         return {g for g in out if len(g) > 1}
 
-    classes = spark.createDataFrame([(f, 0) for f in fps], "fp long, extra long")
+    classes = spark.createDataFrame([(f, f) for f in fps], "node long, f0 long")
     for threshold, hot in ((4, 20_000), (4, 10), (6, 15), (3, 10)):
-        found = connected_components(simhash_dedup.link_classes(classes, threshold, None, hot)).collect()
+        found = connected_components(simhash_dedup.link_classes(classes, threshold, hot=hot)).collect()
         groups = {}
         for row in found:
             groups.setdefault(row["component"], set()).add(row["node"])

@@ -1,9 +1,12 @@
 """Line dedup: lines that an earlier document has already are dropped.
 
-Lines are hashed to 128 bits. Each batch of documents sorts its hashes by (hash, document,
-position), keeps one entry a hash for its first holder, and deals the sorted run out by ranges of
-the hash space; the task of a range streams through the merged runs and marks every entry that
-has an earlier holder. What comes back, and what is joined to the documents, is bitmaps.
+Lines are hashed to 128 bits where they are read; what is shuffled is a hash, a document and a
+position a line, never text. A batch of rows settles among itself what it can: only the first
+document that holds a hash asks about it, all later ones drop the line whatever the answer. Hashes
+are dealt to tasks by ranges and sorted by (hash, document, position); a task streams through
+them, the first occurrence of each stays, and the others go back to their documents as positions.
+These meet the texts once, in a join, which gives each document its lines and the run lengths of
+its keep bitmap.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sorted_runs as runs
-from .common import BYTE_SPACES, batch_count, batch_of, positional, shuffle_partitions
+from .common import BYTE_SPACES, input_bytes, partitions_for, positional, whole_keys
 
-_ROUND = 0
+#: Owner of a line without a document id: sorts before all ids.
+NULL_OWNER = -(1 << 63)
+_ENTRY = "range int, high long, low long, owner long, text_id long, pos int, sure binary"
+_NAMES = [c.split(" ")[0] for c in _ENTRY.split(", ")]
 
 
 def _key(line: bytes, least: int) -> bytes | None:
@@ -30,36 +35,87 @@ def _key(line: bytes, least: int) -> bytes | None:
     return key
 
 
-class _Lines:
-    """The lines of one batch: of each long enough line its document, position and key group."""
-
-    def __init__(self, ids: list, texts: list, least: int):
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b""))
-        self.lines = [(texts[i] or b"").split(b"\n") for i in self.order]
-        digests, row, pos = [], [], []
-        for r, lines in enumerate(self.lines):
-            for p, line in enumerate(lines):
-                key = _key(line, least)
-                if key is not None:
-                    digests.append(xxhash.xxh3_128_digest(key))
-                    row.append(r)
-                    pos.append(p)
-        both = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
-        owner = np.array([runs.NULL_OWNER if ids[i] is None else ids[i] for i in self.order], np.int64)
-        self.row, self.pos = np.array(row, np.int64), np.array(pos, np.int64)
-        self.owner = owner[self.row] if len(row) else np.empty(0, np.int64)
-        by = np.lexsort((self.pos, self.owner, both[:, 1], both[:, 0]))
-        high, low = both[by, 0], both[by, 1]
-        new = np.ones(len(by), bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        heads = np.flatnonzero(new)
-        self.group = np.empty(len(by), np.int64)
-        self.group[by] = np.cumsum(new) - 1
-        self.keys, self.more, self.first = high[heads], low[heads], self.owner[by][heads]
-
-    def dropped(self, flags: np.ndarray) -> np.ndarray:
-        """Of each keyed line, whether an earlier document holds its key: here, or in another batch."""
-        return flags[self.group] | (self.owner > self.first[self.group])
+def _entries(owners: np.ndarray, text_ids: np.ndarray, texts: list[bytes], least: int, n_ranges: int) -> pa.RecordBatch:
+    """What a batch of rows has to ask, a row a hash and document, and what it knows, a row a document.
+
+    A position stands for all lines of its document with the same key; it is the first of them.
+    """
+    digests, row, pos = [], [], []
+    for r, text in enumerate(texts):
+        for p, line in enumerate(text.split(b"\n")):
+            key = _key(line, least)
+            if key is not None:
+                digests.append(xxhash.xxh3_128_digest(key))
+                row.append(r)
+                pos.append(p)
+    both = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+    row, pos = np.array(row, np.int64), np.array(pos, np.int64)
+    owner = owners[row] if len(row) else np.empty(0, np.int64)
+    by = np.lexsort((pos, row, owner, both[:, 1], both[:, 0]))
+    high, low, owner, row, pos = both[by, 0], both[by, 1], owner[by], row[by], pos[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    leads = new.copy()  # the first line of its key and row
+    leads[1:] |= row[1:] != row[:-1]
+    first = owner[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else owner
+    asks = leads & (owner == first)
+    goes = np.flatnonzero(leads & (owner > first))
+    goes = goes[np.argsort(row[goes], kind="stable")]
+    rows, at = np.unique(row[goes], return_index=True)
+    sure = [pos[some].astype("<i4").tobytes() for some in np.split(goes, at[1:])] if len(rows) else []
+    n = int(asks.sum())
+    spread = (text_ids[rows].view(np.uint64) >> np.uint64(32)).astype(np.int64) * n_ranges >> 32
+    columns = [
+        pa.array(np.concatenate((((high[asks] >> np.uint64(32)).astype(np.int64) * n_ranges) >> 32, spread)).astype(np.int32)),
+        pa.array(np.concatenate((high[asks].view(np.int64), np.zeros(len(rows), np.int64)))),
+        pa.array(np.concatenate((low[asks].view(np.int64), np.zeros(len(rows), np.int64)))),
+        pa.array(np.concatenate((owner[asks], owners[rows]))),
+        pa.array(np.concatenate((text_ids[row[asks]], text_ids[rows]))),
+        pa.array(np.concatenate((pos[asks], np.zeros(len(rows), np.int64))).astype(np.int32)),
+        pa.array([None] * n + sure, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
+def _later(table: pa.Table) -> pa.RecordBatch:
+    """Of a stretch of whole keys, sorted by hash and document, the entries with an earlier document; and all that is known."""
+    high, low, owner = (table.column(c).to_numpy() for c in ("high", "low", "owner"))
+    order = np.lexsort((owner, low, high))
+    sure = table.column("sure").is_valid().to_numpy(zero_copy_only=False)
+    order = order[~sure[order]]
+    h, m, o = high[order], low[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
+    first = o[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else o
+    goes = order[o > first]
+    known = np.flatnonzero(sure)
+    positions = [p.tobytes() for p in table.column("pos").to_numpy()[goes].astype("<i4")] + table.column("sure").take(pa.array(known)).to_pylist()
+    at = pa.array(np.concatenate((goes, known)))
+    found = table.select(["owner", "text_id"]).take(at).combine_chunks()
+    columns = [pa.array(found.column(c).to_numpy()) for c in ("owner", "text_id")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(positions, pa.binary())], ["owner", "text_id", "positions"])
+
+
+def _kept(text: bytes, drops: list[bytes] | None, least: int) -> tuple[bytes, np.ndarray]:
+    """The lines that stay, joined, and a flag a line."""
+    if not drops:
+        return text, np.ones(text.count(b"\n") + 1, bool)
+    lines = text.split(b"\n")
+    gone = {_key(lines[p], least) for p in np.frombuffer(b"".join(drops), "<i4").tolist()}
+    stays = np.fromiter((_key(line, least) not in gone for line in lines), bool, len(lines))
+    return b"\n".join([line for line, s in zip(lines, stays) if s]), stays
+
+
+def run_lengths(stays: np.ndarray) -> str:
+    """A keep bitmap by the lengths of its runs, kept lines first: "3,1,2" is 111011; "0,2" is 00."""
+    edge = np.flatnonzero(np.concatenate(([True], stays[1:] != stays[:-1], [True])))
+    return ",".join(([] if stays[0] else ["0"]) + [str(n) for n in np.diff(edge).tolist()])
+
+
+def bitmap(runs: str) -> np.ndarray:
+    """The flags that run_lengths wrote."""
+    lengths = [int(n) for n in runs.split(",")]
+    return np.repeat(np.arange(len(lengths)) % 2 == 0, lengths)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, emit: str = "digest") -> DataFrame:
@@ -69,9 +125,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in lower case. Keys under `least` code points always stay, and so do all lines of a key in the
     document with the smallest id that holds it.
 
-    emit="digest": doc_id, n_lines, n_dropped, kept_sha256, keep_bitmap (a bit a line, most
-    significant bit first), one row for each input row. emit="documents": the input's columns, the
-    text replaced by the lines that stay.
+    emit="digest": doc_id, n_lines, n_dropped, kept_sha256, keep_runs (the keep bitmap compressed
+    to run lengths, see run_lengths), one row for each input row. emit="documents": the input's
+    columns, the text replaced by the lines that stay.
 
     A null or empty text is one empty line (emit="documents" leaves a null text null). A null id
     counts as smaller than all ids. Rows of one id count as one document, so none of them removes
@@ -79,42 +135,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark, (table, names) = docs.sparkSession, positional(docs)
     doc_id, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
-    n_batches, n_buckets = batch_count(docs, F.col(text_col)), shuffle_partitions(spark)
+    n_ranges = partitions_for(spark, input_bytes(table, F.col(text)), 64 << 20)
+    owner, text_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_OWNER)), F.xxhash64(text)
+
+    def ask(batches):
+        for batch in batches:
+            owners, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield _entries(owners, ids, texts, least, n_ranges)
+
+    def answer(batches):
+        for stretch in whole_keys(batches):
+            yield _later(stretch)
+
+    entries = table.select(owner.alias("owner"), text_id.alias("text_id"), F.col(text).alias("text")).mapInArrow(ask, _ENTRY)
+    dealt = entries.repartitionById(n_ranges, "range").sortWithinPartitions("high", "low", "owner", "pos")
+    answers = dealt.select("high", "low", "owner", "text_id", "pos", "sure").mapInArrow(answer, "owner long, text_id long, positions binary")
+    # At most a position a line of the document; repeated rows ask and are answered alike.
+    drops = answers.groupBy("owner", "text_id").agg(F.collect_list("positions").alias("_drops"))
     columns = table.columns if emit == "documents" else [doc_id, text]
-    dealt = table.select(batch_of(F.col(doc_id).cast("long"), F.col(text), n_batches).alias("batch"), *columns).repartition(n_buckets, "batch")
-
-    def lines_of(part: pa.Table) -> _Lines:
-        return _Lines(part.column(doc_id).cast(pa.int64()).to_pylist(), part.column(text).cast(pa.binary()).to_pylist(), least)
-
-    def make_run(part: pa.Table) -> pa.Table:
-        x = lines_of(part)
-        return runs.run_table(part.column("batch")[0].as_py(), _ROUND, n_buckets, x.keys, x.more, x.first)
-
-    def keep(part: pa.Table, replies: pa.Table) -> pa.Table:
-        x = lines_of(part)
-        drop = x.dropped(runs.flags_of(replies, _ROUND, x.keys, n_buckets))
-        ids, counts, lost, digests, bitmaps, kept = part.column(doc_id).cast(pa.int64()).to_pylist(), [], [], [], [], []
-        edge = np.searchsorted(x.row, np.arange(len(x.lines) + 1))
-        for r, lines in enumerate(x.lines):
-            gone = x.pos[edge[r] : edge[r + 1]][drop[edge[r] : edge[r + 1]]]
-            stays = np.ones(len(lines), bool)
-            stays[gone] = False
-            body = b"\n".join([line for line, s in zip(lines, stays) if s] if len(gone) else lines)
-            counts.append(len(lines))
-            lost.append(len(gone))
+    joined = table.select(owner.alias("owner"), text_id.alias("text_id"), *columns).join(drops, ["owner", "text_id"], "left").select(*columns, "_drops")
+
+    def keep(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            texts, lists = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            found = [_kept(t or b"", d, least) for t, d in zip(texts, lists)]
             if emit == "documents":
-                kept.append(body.decode())
+                kept = pa.array([k.decode() if t is not None else None for (k, _), t in zip(found, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([kept if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
             else:
-                digests.append(hashlib.sha256(body).hexdigest())
-                bitmaps.append(np.packbits(stays).tobytes())
-        if emit == "documents":
-            out = part.drop(["batch"]).take(pa.array(x.order, pa.int64()))
-            at = out.column_names.index(text)
-            present = out.column(text).is_valid().to_pylist()
-            return out.set_column(at, text, pa.array([k if p else None for k, p in zip(kept, present)], pa.string()))
-        return pa.table({"doc_id": pa.array([ids[i] for i in x.order], pa.int64()), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(lost, pa.int64()), "kept_sha256": digests, "keep_bitmap": pa.array(bitmaps, pa.binary())})
-
-    replies = runs.not_first(dealt.groupBy("batch").applyInArrow(make_run, runs.RUN_SCHEMA))
-    schema = table.schema if emit == "documents" else "doc_id long, n_lines long, n_dropped long, kept_sha256 string, keep_bitmap binary"
-    out = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(keep, schema)
-    return out.toDF(*names) if emit == "documents" else out
+                counts = [pa.array([int(f(s)) for _, s in found], pa.int64()) for f in (len, lambda s: len(s) - s.sum())]
+                digests = [pa.array(x, pa.string()) for x in ([hashlib.sha256(k).hexdigest() for k, _ in found], [run_lengths(s) for _, s in found])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts, *digests], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_runs"])
+
+    if emit == "documents":
+        return joined.mapInArrow(keep, table.schema).toDF(*names)
+    return joined.mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, keep_runs string")

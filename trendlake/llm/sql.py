@@ -32,7 +32,16 @@ WITH d AS (
 ), g AS (
   SELECT doc_id, k, line, CASE WHEN length(key) >= 10 THEN min(doc_id) OVER (PARTITION BY key) ELSE doc_id END AS first FROM f
 )
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN doc_id > first THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE doc_id = first), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+, h AS (
+  SELECT *, doc_id = first AS stays, row_number() OVER (PARTITION BY doc_id ORDER BY k) - row_number() OVER (PARTITION BY doc_id, doc_id = first ORDER BY k) AS island FROM g
+), r AS (
+  SELECT doc_id, stays, min(k) AS begins, count(*) AS length FROM h GROUP BY doc_id, stays, island
+), b AS (
+  SELECT doc_id, CASE WHEN bool_or(begins = 0 AND NOT stays) THEN '0,' ELSE '' END || string_agg(CAST(length AS VARCHAR), ',' ORDER BY begins) AS keep_runs FROM r GROUP BY doc_id
+), s AS (
+  SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN doc_id > first THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE doc_id = first), '')) AS kept_sha256
+  FROM g GROUP BY doc_id
+)
+SELECT s.doc_id, n_lines, n_dropped, kept_sha256, keep_runs FROM s JOIN b ON s.doc_id = b.doc_id
 """
