@@ -12,13 +12,13 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from .common import batch_count, shuffle_partitions
+from .common import checkpoint, documents_of, input_bytes, partitions_for, spread_out
 
 SLOTS, KEPT, K = 32, 2, 3
 _PIECES = re.compile(r"[^\x20\x09-\x0D]{1,8}")
@@ -57,10 +57,10 @@ _FACTORS = _odd(SLOTS)
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """SLOTS 32-bit values; all zero for a text without words."""
+    """SLOTS 32-bit values, most significant byte first; all zero for a text without words."""
     pieces = _PIECES.findall(text)
     if not pieces:
-        return np.zeros(SLOTS, np.uint32)
+        return np.zeros(SLOTS, ">u4")
     codes = np.fromiter(map(_CODES.__getitem__, pieces), np.uint64, len(pieces))
     n = max(1, len(codes) - K + 1)
     kmers = np.zeros(n, np.uint64)
@@ -85,7 +85,7 @@ def fingerprint(text: str) -> np.ndarray:
         for j in range(found.shape[1]):
             total = _mixed(total * _A + found[:, j])
         out[i : i + step] = total
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(32)).astype(">u4")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,18 +94,36 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(values: np.ndarray) -> str:
-    return values.astype(">u4").tobytes().hex()
+    return values.tobytes().hex()
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint of every row's whole text (null: empty); needs no shuffle."""
+    """doc_id, fingerprint of every row's whole text (null: empty); null ids and repeated rows are kept."""
 
     def run(batches):
         for batch in batches:
             found = [written(fingerprint(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return spread_out(documents_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, fingerprint string")
+
+
+_COMPARED = "doc_id long, n_chars long, edited_sha256 string, print binary, edited_print binary, near_edited double, near_next double, part int, kind int, text string"
+_NAMES = [c.split(" ")[0] for c in _COMPARED.split(", ")]
+_KINDS = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32()}[c.split(" ")[1]] for c in _COMPARED.split(", ")]
+#: Rows of _COMPARED: a document compared with the next; the first and the last text of a partition.
+_DONE, _HEAD, _LAST = 0, 1, 2
+
+
+def _compared(doc_id: int | None, text: str, own: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
+    size = len(text)
+    edited = text[: size - size // 4] + following[: size // 4]
+    new = fingerprint(edited)
+    return (doc_id, size, hashlib.sha256(edited.encode()).hexdigest(), own.tobytes(), new.tobytes(), likeness(own, new), likeness(own, theirs), None, _DONE, None)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)] if rows else [pa.array([], k) for k in _KINDS], _NAMES)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,51 +133,45 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document's (ascending id; after the last the first). One row an input row: doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt out by ranges of the id. Only the first document of each range goes to two
-    tasks: its own, and that of the range before, whose last document it follows. Null texts are
-    empty. Null ids come first, in one range; rows with the same id are in the order of their
-    texts. A single document follows itself. An empty table gives no rows.
+    Documents are dealt out by ranges of (id, start of the text) and sorted; a task streams through
+    its range and holds one text beside the current one. Only the first and the last text of each
+    range go on, two rows a partition, and are joined to each other. Null texts are empty. Null ids
+    come first; rows with the same id are in the order of their texts. A single document
+    follows itself. An empty table gives no rows.
     """
-    n = batch_count(docs, F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key"), F.col(text_col).alias("text"))
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("cuts")).first()["cuts"]
-    bounds = np.unique(np.array(cuts or [], np.int64))  # as many as there are ranges
-
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), "right").astype(np.int32))
-
-    ranges = rows.select(range_of("key").alias("part"), "key").groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()
-    before = {r["first"]: ranges[i - 1]["part"] for i, r in enumerate(ranges)}  # a row for each range
-    firsts, targets = np.array(sorted(before), np.int64), np.array([before[k] for k in sorted(before)], np.int32)
-
-    @F.pandas_udf("array<int>")
-    def parts_of(keys: pd.Series) -> pd.Series:
-        values = keys.to_numpy(np.int64)
-        part = np.searchsorted(bounds, values, "right")
-        at = np.minimum(np.searchsorted(firsts, values), len(firsts) - 1)
-        also = np.where(firsts[at] == values, targets[at], -1)
-        return pd.Series([[int(p), int(a)] if a >= 0 else [int(p)] for p, a in zip(part, also)])
-
-    dealt = rows.select("doc_id", "key", "text", F.posexplode(parts_of("key")).alias("context", "part")).repartition(shuffle_partitions(docs.sparkSession), "part")
-
-    def run(part: pa.Table) -> pa.Table:
-        context = part.column("context").to_pylist()
-        keys, texts, ids = part.column("key").to_pylist(), part.column("text").to_pylist(), part.column("doc_id").to_pylist()
-        order = sorted(range(len(keys)), key=lambda i: (context[i], keys[i], texts[i] or ""))
-        own = sum(c == 0 for c in context)
-        order = order[: own + 1]
-        body = [texts[i] or "" for i in order]
-        prints = [fingerprint(t) for t in body]
-        out = []
-        for at in range(own):
-            text, size = body[at], len(body[at])
-            edited = text[: size - size // 4] + body[at + 1][: size // 4]
-            new = fingerprint(edited)
-            out.append((ids[order[at]], size, hashlib.sha256(edited.encode()).hexdigest(), written(prints[at]), written(new), likeness(prints[at], new), likeness(prints[at], prints[at + 1])))
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        columns = zip(*out) if out else [[] for _ in names]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
-
-    return dealt.groupBy("part").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = documents_of(docs, id_col, text_col)
+    n = partitions_for(docs.sparkSession, input_bytes(rows, F.col("text")), 128 << 20)
+    # The bounds of ranges are a sample that Spark brings to the driver: of texts, 64 characters.
+    text, key = F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_NULL_KEY)).alias("key")
+    dealt = rows.select("doc_id", text, key).repartitionByRange(n, "key", F.substring("text", 1, 64)).sortWithinPartitions("key", "text").select("doc_id", "text")
+
+    def run(batches):
+        part, before, out = TaskContext.get().partitionId(), None, []
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = fingerprint(text)
+                if before is None:
+                    out.append((*[None] * 7, part, _HEAD, text))
+                else:
+                    out.append(_compared(*before, text, own))
+                before = doc_id, text, own
+            yield _rows(out)
+            out = []
+        if before is not None:
+            yield _rows([(before[0], *[None] * 6, part, _LAST, before[1])])
+
+    found = checkpoint(dealt.mapInArrow(run, _COMPARED))
+    ends = found.filter(F.col("kind") != _DONE).select("doc_id", "part", "kind", "text")
+    # A row a partition that holds documents; the window sees their numbers alone.
+    order = Window.orderBy("part")
+    numbers = ends.filter(F.col("kind") == _HEAD).select("part").withColumn("next", F.coalesce(F.lead("part").over(order), F.min("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    heads = ends.filter(F.col("kind") == _HEAD).select(F.col("part").alias("next"), F.col("text").alias("following"))
+    borders = ends.filter(F.col("kind") == _LAST).join(numbers, "part").join(heads, "next").select("doc_id", "text", "following")
+
+    def finish(batches):
+        for batch in batches:
+            yield _rows([_compared(i, t, fingerprint(t), f, fingerprint(f)) for i, t, f in zip(*(c.to_pylist() for c in batch.columns))])
+
+    done = found.filter(F.col("kind") == _DONE).unionByName(borders.mapInArrow(finish, _COMPARED))
+    written_ = lambda c: F.lower(F.hex(c))
+    return done.select("doc_id", "n_chars", "edited_sha256", written_("print").alias("fingerprint"), written_("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")
