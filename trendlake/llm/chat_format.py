@@ -8,13 +8,14 @@ the last turn written.
 
 A conversation may be of any length, so it is not gathered: rows are dealt out by ranges of
 (conversation, turn), the stretch of a conversation inside a partition is summed up by a 4 x 4
-matrix of least costs between states, the few matrices of conversations that cross partitions are
-joined on the driver (two a partition at most), and each stretch is then repaired on its own
-between known states.
+matrix of least costs between states and the order of equal ones, the few matrices of
+conversations that cross partitions are joined on the driver (two a partition at most), and each
+stretch is then repaired on its own between known states.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import checkpoint, shuffle_partitions
+from .common import checkpoint, input_bytes, partitions_for, positional
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing written yet, then the role of the last turn.
 START, STATES = 0, 4
 RELABEL, INSERT, MERGE_SAME, MERGE_OTHER = 4, 5, 1, 7
 _FAR = 1 << 60
+#: Rows of a batch that goes out.
+_OUT_ROWS = 4096
 #: Which roles (numbered from 1 as states) may follow a state.
 _LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 SCHEMA = "conv_id long, turn long, role string, new_role string, action string, n_inserted int, cost int, piece string"
@@ -54,49 +57,93 @@ def role_number(role: str | None) -> int:
     return ROLES.index(name) + 1 if name in ROLES else 0
 
 
-def _choices(role: int) -> list[list[tuple[int, int, str]]]:
-    """For each state the ways to take a turn of this role: (cost, next state, action)."""
-    ways = []
-    for state in range(STATES):
-        mine = []
-        for new in range(1, STATES):
-            filler = FILLERS[state, new]
-            if filler is not None:
-                action = "keep" if new == role else "relabel"
-                mine.append((INSERT * len(filler) + (RELABEL if new != role else 0), new, action))
-        if state != START:
-            mine.append((MERGE_SAME if state == role else MERGE_OTHER, state, "merge"))
-        ways.append(sorted(mine, key=lambda w: (w[0], w[2], w[1])))
+def _step(role: int) -> list[list[tuple[int, str]]]:
+    """[state][next state]: the cheapest way to take a turn of this role, (cost, action); the first action by name of equal ones."""
+    ways = [[(_FAR, "")] * STATES for _ in range(STATES)]
+    for state, new in itertools.product(range(STATES), range(1, STATES)):
+        filler = FILLERS[state, new]
+        found = []
+        if filler is not None:
+            found.append((INSERT * len(filler) + (RELABEL if new != role else 0), "keep" if new == role else "relabel"))
+        if state == new:
+            found.append((MERGE_SAME if state == role else MERGE_OTHER, "merge"))
+        ways[state][new] = min(found, default=(_FAR, ""))
     return ways
 
 
-CHOICES = [_choices(role) for role in range(STATES)]
+STEPS = [_step(role) for role in range(STATES)]
 
 
 def costs_after(costs: list[int], role: int) -> list[int]:
     """Least cost of each state after one more turn."""
-    new = [_FAR] * STATES
-    for state, cost in enumerate(costs):
-        if cost < _FAR:
-            for more, to, _ in CHOICES[role][state]:
-                if cost + more < new[to]:
-                    new[to] = cost + more
-    return new
-
-
-def stretch_matrix(roles: Iterable[int]) -> list[list[int]]:
-    """Least costs from each state to each state over a stretch of turns."""
-    rows = [[0 if i == j else _FAR for j in range(STATES)] for i in range(STATES)]
-    for role in roles:
-        rows = [costs_after(r, role) for r in rows]
-    return rows
+    step = STEPS[role]
+    return [min(min(c + step[s][to][0] for s, c in enumerate(costs)), _FAR) for to in range(STATES)]
+
+
+class Stretch:
+    """What a stretch of turns does to any state before it.
+
+    Of all sequences of states that cost least, the one counts whose last state is least, then
+    whose last but one is least, and so on back. `costs[i][j]` is the least cost from state i
+    before to state j after; `place[j][i]` orders the states before by what counts among the best
+    ways from them to j. Both together are enough to join stretches in any grouping, with the
+    same sequence in the end.
+    """
+
+    def __init__(self, costs: list[list[int]], place: list[list[int]]):
+        self.costs, self.place = costs, place
+
+    @classmethod
+    def turn(cls, role: int) -> Stretch:
+        return cls([[way[0] for way in ways] for ways in STEPS[role]], [list(range(STATES)) for _ in range(STATES)])
+
+    def between(self, later: Stretch, i: int, j: int) -> int:
+        """The state between the two stretches on the way from i to j."""
+        return min(range(STATES), key=lambda k: (min(self.costs[i][k] + later.costs[k][j], _FAR), later.place[j][k]))
+
+    def then(self, later: Stretch) -> Stretch:
+        through = [[self.between(later, i, j) for j in range(STATES)] for i in range(STATES)]
+        costs = [[min(self.costs[i][through[i][j]] + later.costs[through[i][j]][j], _FAR) for j in range(STATES)] for i in range(STATES)]
+        place = []
+        for j in range(STATES):
+            order = sorted(range(STATES), key=lambda i: (later.place[j][through[i][j]], self.place[through[i][j]][i]))
+            place.append([order.index(i) for i in range(STATES)])
+        return Stretch(costs, place)
+
+    def best_end(self, i: int) -> int:
+        return min(range(STATES), key=lambda j: (self.costs[i][j], j))
+
+    def written(self) -> list[int]:
+        return [x for rows in (*self.costs, *self.place) for x in rows]
+
+    @classmethod
+    def read(cls, values: list[int]) -> Stretch:
+        rows = [list(values[i : i + STATES]) for i in range(0, len(values), STATES)]
+        return cls(rows[:STATES], rows[STATES:])
+
+
+@functools.lru_cache(100_000)
+def _longer(stretch: tuple[int, ...], role: int) -> tuple[tuple[int, ...], int]:
+    """A stretch and one more turn, with the least cost taken off; there are few different ones."""
+    out = Stretch.read(list(stretch)).then(Stretch.turn(role)).written()
+    least = min(out[: STATES * STATES])
+    return tuple(x - least if i < STATES * STATES and x < _FAR else x for i, x in enumerate(out)), least
+
+
+def whole_stretch(roles: Iterable[int]) -> Stretch:
+    """All of one turn or more."""
+    rest = iter(roles)
+    out, total = tuple(Stretch.turn(next(rest)).written()), 0
+    for role in rest:
+        out, more = _longer(out, role)
+        total += more
+    return Stretch.read([x + total if i < STATES * STATES and x < _FAR else x for i, x in enumerate(out)])
 
 
 def best_path(roles: list[int], entry: int, exit_: int | None) -> list[tuple[int, str, int, int]]:
     """For each turn (state before, action, state after, cost) on the cheapest way; None: any end.
 
-    Among ways of equal cost, the one that ends in the least state, and going back from there the
-    one whose step is first in the order of (cost, action, state) with the least state before.
+    Of ways of equal cost the one whose last state is least, then whose last but one is, and so on.
     """
     costs = [_FAR] * STATES
     costs[entry] = 0
@@ -106,7 +153,9 @@ def best_path(roles: list[int], entry: int, exit_: int | None) -> list[tuple[int
     state = exit_ if exit_ is not None else min(range(STATES), key=lambda s: (layers[-1][s], s))
     path = []
     for i in range(len(roles) - 1, -1, -1):
-        cost, action, before = min((more, action, s) for s in range(STATES) for more, to, action in CHOICES[roles[i]][s] if to == state and layers[i][s] + more == layers[i + 1][state])
+        step = STEPS[roles[i]]
+        before = next(s for s in range(STATES) if layers[i][s] + step[s][state][0] == layers[i + 1][state])
+        cost, action = step[before][state]
         path.append((before, action, state, cost))
         state = before
     return path[::-1]
@@ -124,88 +173,79 @@ def render(before: int, action: str, after: int, text: str | None, last: bool) -
     return out + ("<|end|>\n" if last else "")
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[dict]]]:
-    rows = (r for b in batches for r in b.to_pylist())
-    return itertools.groupby(rows, key=lambda r: r["conv_id"])
-
-
-def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = 4096) -> DataFrame:
+def _stretches(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
+    """The first columns of each run of rows with one conversation, the id first."""
+    held: list[list] = [[] for _ in range(columns)]
+    for batch in batches:
+        found = [batch.column(i).to_pylist() for i in range(columns)]
+        start = 0
+        for conv, run in itertools.groupby(found[0]):
+            end = start + sum(1 for _ in run)
+            if held[0] and held[0][-1] != conv:
+                yield held
+                held = [[] for _ in range(columns)]
+            for kept, new in zip(held, found):
+                kept.extend(new[start:end])
+            start = end
+    if held[0]:
+        yield held
+
+
+def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", n_parts: int | None = None) -> DataFrame:
     """Repairs the roles of every conversation at the least cost and renders it.
 
     One row for each input row: conv_id, turn, role, new_role, action (keep, relabel, merge),
     n_inserted (empty turns before it), cost, piece. The pieces of a conversation in the order of
-    (turn, role, text), nulls first, are its rendered text. Unknown and null roles always cost a
-    relabel or a merge; null texts are empty; rows with a null conv_id form one conversation;
+    (turn, role, text), nulls first, are its rendered text. Of repairs of equal cost
+    the one counts that Stretch names, whatever the partitions. Unknown and null roles always cost
+    a relabel or a merge; null texts are empty; rows with a null conv_id form one conversation;
     repeated rows are turns of their own. An empty table gives no rows.
 
-    `chunk`: turns that are repaired together within a partition.
+    A task holds one conversation's stretch within its partition, and partitions are cut to a size.
     """
-    keys = ["conv_id", "turn", "role", "text"]
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    dealt = checkpoint(rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *keys).sortWithinPartitions(*keys))
+    spark, (table, names) = turns.sparkSession, positional(turns)
+    column = lambda name: F.col(f"_c{names.index(name)}")
+    rows = table.select(column(conv_col).cast("long").alias("conv_id"), column(turn_col).cast("long").alias("turn"), column(role_col).alias("role"), column(text_col).alias("text"))
+    n_parts = n_parts or partitions_for(spark, input_bytes(rows, F.col("text")), 64 << 20)
+    # The bounds of ranges are a sample that Spark brings to the driver: of texts, 64 characters.
+    dealt = rows.repartitionByRange(n_parts, "conv_id", "turn", F.substring("role", 1, 64), F.substring("text", 1, 64)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = checkpoint(dealt.select("conv_id", "role", "turn", "text"))
 
     def sum_up(batches):
         """The first and the last stretch of the partition; others lie in it as a whole."""
-        number, kept = TaskContext.get().partitionId(), []
-        for conv, rows_ in _segments(batches):
-            found = (number, conv, [c for r in stretch_matrix(role_number(x["role"]) for x in rows_) for c in r])
-            kept = [*kept[:1], found]
+        number, ends = TaskContext.get().partitionId(), []
+        for ids, roles in _stretches(batches, 2):
+            ends = [*ends[:1], (ids[0], roles)]
+        kept = [(number, conv, whole_stretch(map(role_number, roles)).written()) for conv, roles in ends]
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["part", "conv_id", "costs"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["part", "conv_id", "stretch"])
 
-    edges = sorted(dealt.mapInArrow(sum_up, "part int, conv_id long, costs array<long>").collect(), key=lambda r: (r["part"], r["conv_id"] is not None, r["conv_id"] or 0))
+    # Two rows a partition at most.
+    edges = sorted(dealt.select("conv_id", "role").mapInArrow(sum_up, "part int, conv_id long, stretch array<long>").collect(), key=lambda r: (r["part"], r["conv_id"] is not None, r["conv_id"] or 0))
     between: dict[tuple[int, int | None], tuple[int, int, bool]] = {}
     for conv, group in itertools.groupby(edges, key=lambda r: r["conv_id"]):
-        stretches = list(group)
-        layers = [[0 if s == START else _FAR for s in range(STATES)]]
-        for x in stretches:
-            m = [x["costs"][i * STATES : (i + 1) * STATES] for i in range(STATES)]
-            layers.append([min(layers[-1][i] + m[i][j] for i in range(STATES)) for j in range(STATES)])
-        state = min(range(STATES), key=lambda s: (layers[-1][s], s))
-        for i in range(len(stretches) - 1, -1, -1):
-            costs = stretches[i]["costs"]
-            before = min(s for s in range(STATES) if layers[i][s] + costs[s * STATES + state] == layers[i + 1][state])
-            between[stretches[i]["part"], conv] = (before, state, i == len(stretches) - 1)
+        parts = list(group)
+        found = [Stretch.read(x["stretch"]) for x in parts]
+        until = list(itertools.accumulate(found, Stretch.then))
+        state = until[-1].best_end(START)
+        for i in range(len(found) - 1, -1, -1):
+            before = until[i - 1].between(found[i], START, state) if i else START
+            between[parts[i]["part"], conv] = (before, state, i == len(found) - 1)
             state = before
 
     def repair(batches):
         number = TaskContext.get().partitionId()
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+        names_ = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        out: list[tuple] = []
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-            out.clear()
-            return batch
-
-        for conv, rows_ in _segments(batches):
-            entry, exit_, ends = between.get((number, conv), (START, None, True))
-            parts = [list(rows_)]
-            if len(parts[0]) > chunk:
-                parts = [parts[0][i : i + chunk] for i in range(0, len(parts[0]), chunk)]
-            roles = [[role_number(r["role"]) for r in p] for p in parts]
-            layers = [[0 if s == entry else _FAR for s in range(STATES)]]
-            matrices = [stretch_matrix(r) for r in roles] if len(parts) > 1 else []
-            for m in matrices:
-                layers.append([min(layers[-1][i] + m[i][j] for i in range(STATES)) for j in range(STATES)])
-            exits: list[int | None] = [exit_]
-            if matrices:
-                state = exit_ if exit_ is not None else min(range(STATES), key=lambda s: (layers[-1][s], s))
-                exits = [state]
-                for i in range(len(parts) - 1, 0, -1):
-                    state = min(s for s in range(STATES) if layers[i][s] + matrices[i][s][state] == layers[i + 1][state])
-                    exits.insert(0, state)
-            for i, (part, own) in enumerate(zip(parts, roles)):
-                path = best_path(own, entry, exits[i])
-                for j, (row, (before, action, after, cost)) in enumerate(zip(part, path)):
-                    last = ends and i == len(parts) - 1 and j == len(part) - 1
-                    filled = 0 if action == "merge" else len(FILLERS[before, after])
-                    out.append((row["conv_id"], row["turn"], row["role"], ROLES[after - 1], action, filled, cost, render(before, action, after, row["text"], last)))
-                    entry = after
-                if len(out) >= chunk:
-                    yield flush()
-        if out:
-            yield flush()
+        for ids, roles, order, texts in _stretches(batches, 4):
+            entry, exit_, ends = between.get((number, ids[0]), (START, None, True))
+            path = best_path(list(map(role_number, roles)), entry, exit_)
+            for start in range(0, len(path), _OUT_ROWS):
+                some = path[start : start + _OUT_ROWS]
+                out = [
+                    (ids[i], order[i], roles[i], ROLES[after - 1], action, 0 if action == "merge" else len(FILLERS[before, after]), cost, render(before, action, after, texts[i], ends and i == len(path) - 1))
+                    for i, (before, action, after, cost) in enumerate(some, start)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names_)
 
     return dealt.mapInArrow(repair, SCHEMA)
