@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import itertools
 import json
 import re
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import repo_tokenizer
+from .common import documents_of, public_tokenizer, spread_out
 
 _NEVER = np.int32(2**31 - 1)
 #: Marks the end of a word in the strings that the automaton reads; they hold bytes as U+0000 to U+00FF.
@@ -92,8 +93,6 @@ class Model:
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int32)[order]
         self.base = {self._plain(t): i for t, i in vocab.items() if self.rank[i] < 0}
-        self._merged = np.array([c for _, c in self.merges.values()], np.int64)
-        self._byte_ids = np.array([self.base.get(chr(b), 0) for b in range(256)], np.int64)
         self._sizes = np.zeros(size)
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
@@ -109,25 +108,38 @@ class Model:
         return "".join(map(_byte_symbols().__getitem__, body)) + (_END if end else "")
 
     def merge_exactly(self, plain: str) -> list[int]:
-        """Merges a word step by step, the lowest rank first and from the left among equals."""
+        """Merges a word step by step, the lowest rank first and from the left among equals, in n log n steps."""
         symbols = list(plain)
         if symbols and symbols[-1] == _END:
             symbols[-2:] = [symbols[-2] + _END]
         ids = [self.base[s] for s in symbols]
-        merges, none = self.merges, (_NEVER, -1)
-        found = [merges.get(p, none) for p in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
-            if best is none:
-                break
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
-            if i:
-                found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
-            if i < len(found):
-                found[i] = merges.get((ids[i], ids[i + 1]), none)
-        return ids
+        merges, n = self.merges, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # Rank and place of each pair that can be merged, in one number; a pair that is gone is told by its rank.
+        heap = [(found[0] << 32) | i for i, found in enumerate(map(merges.get, zip(ids, ids[1:]))) if found is not None]
+        heapq.heapify(heap)
+        while heap:
+            best = heapq.heappop(heap)
+            i = best & 0xFFFFFFFF
+            j = after[i]
+            if j >= n or ids[i] < 0:
+                continue
+            found = merges.get((ids[i], ids[j]))
+            if found is None or found[0] != best >> 32:
+                continue
+            ids[i], ids[j] = found[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                found = merges.get((ids[i], ids[k]))
+                if found is not None:
+                    heapq.heappush(heap, (found[0] << 32) | i)
+            h = before[i]
+            if h >= 0:
+                found = merges.get((ids[h], ids[i]))
+                if found is not None:
+                    heapq.heappush(heap, (found[0] << 32) | h)
+        return [x for x in ids if x >= 0]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merges leave the neighbours a[i] and b[i] apart."""
@@ -148,47 +160,6 @@ class Model:
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
         return good
 
-    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a.astype(np.int64) << 32) | b
-        spot = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[spot] == key, self._ranks[spot], _NEVER)
-
-    def merge_all(self, plains: list[str]) -> list[list[int]]:
-        """merge_exactly of many words: every round makes the next merge of each word."""
-        out: list[list[int]] = [[] for _ in plains]
-        if not plains:
-            return out
-        lasts = [p[-2:] if p.endswith(_END) else p[-1:] for p in plains]
-        firsts = "".join(p[: len(p) - len(last)] + "?" for p, last in zip(plains, lasts))
-        ids = self._byte_ids[np.frombuffer(firsts.encode("latin-1"), np.uint8)]
-        size = np.array([len(p) - len(last) + 1 for p, last in zip(plains, lasts)])
-        ids[np.cumsum(size) - 1] = [self.base[x] for x in lasts]
-        word = np.repeat(np.arange(len(plains)), size)
-        rank = np.append(self._ranks_of(ids[:-1], ids[1:]), _NEVER)
-        rank[:-1][word[1:] != word[:-1]] = _NEVER
-        while len(ids):
-            edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.minimum.reduceat(rank, edge)
-            length = np.diff(np.append(edge, len(word)))
-            done = best == _NEVER
-            for i in np.flatnonzero(done).tolist():
-                out[word[edge[i]]] = ids[edge[i] : edge[i] + length[i]].tolist()
-            spot = np.flatnonzero((rank == np.repeat(best, length)) & (rank != _NEVER))
-            spot = spot[np.append(True, word[spot[1:]] != word[spot[:-1]])] if len(spot) else spot
-            ids[spot] = self._merged[rank[spot]]
-            stays = np.repeat(~done, length)
-            stays[spot + 1] = False
-            moved = np.cumsum(stays) - 1
-            spot = moved[spot]
-            ids, word, rank = ids[stays], word[stays], rank[stays]
-            for at in (spot - 1, spot):
-                at = at[(at >= 0) & (at < len(ids) - 1)]
-                same = word[at] == word[at + 1]
-                rank[at] = np.where(same, self._ranks_of(ids[at], ids[at + 1]), _NEVER)
-            if len(rank):
-                rank[-1] = _NEVER
-        return out
-
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word; a word is encoded without regard to its neighbours."""
         end = _END if self.suffix else ""
@@ -208,12 +179,8 @@ class Model:
         flat = ids.tolist()
         out = [flat[a:b] for a, b in zip(edges, edges[1:])]
         again = np.flatnonzero(wrong).tolist()
-        short = [i for i in again if len(plain[i]) <= 64]
-        for i, merged in zip(short, self.merge_all([plain[i] for i in short])):
-            out[i] = merged
         for i in again:
-            if len(plain[i]) > 64:
-                out[i] = self.merge_exactly(plain[i])
+            out[i] = self.merge_exactly(plain[i])
         return out
 
 
@@ -309,7 +276,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     emit="ids": doc_id, ids (array<int>), decoded. As the file has no decoder, decoding joins the
     tokens' strings by a space. A null text is empty; null ids and repeated rows are kept.
     """
-    path = path or repo_tokenizer("word_bpe_49k.json")
+    path = path or public_tokenizer("word_bpe_49k.json")
     digest = emit == "digest"
 
     def run(batches):
@@ -335,4 +302,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "decoded"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread_out(documents_of(docs, id_col, text_col)).mapInArrow(run, schema)
