@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import batch_of, input_bytes, repo_tokenizer, shuffle_partitions
+from .common import batch_of, documents_of, input_bytes, partitions_for, public_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _GROUP_BITS = 31
@@ -27,8 +27,18 @@ _GROUP_BITS = 31
 
 #: The words of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts go to our own encoder, as very long runs can exhaust that of the library.
-LIBRARY_CHARS = 200_000
+#: The library takes time by the square of a word's length, and very long ones exhaust it: a text
+#: with a run of twice so many characters of one kind goes to our own encoder, which takes n log n.
+_BLOCK = 500
+
+
+def has_long_run(text: str) -> bool:
+    """Whether a whole block is white space or has none; any run of two blocks' length holds one."""
+    for at in range(0, len(text) - _BLOCK + 1, _BLOCK):
+        first = text[at : at + _BLOCK].split(None, 1)
+        if not first or len(first[0]) == _BLOCK:
+            return True
+    return False
 
 
 class ByteCodec:
@@ -43,7 +53,7 @@ class ByteCodec:
         self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
 
     def _plain(self, text: str) -> bytes:
-        if len(text) > LIBRARY_CHARS:
+        if has_long_run(text):
             return b"".join(self.own.codes([text], _packed)[0])
         return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
@@ -120,7 +130,7 @@ def pack(lengths: list[int], room: int) -> list[list[tuple[int, int, int]]]:
     return bins + [open_bins[b] for b in kept]
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 2 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 6 << 20) -> DataFrame:
     """Tokenizes every text, adds `end_id`, and packs all of it into sequences of `room` tokens.
 
     One row a piece: doc_id, start (tokens of its document before it), length, ids_crc32 (of its
@@ -129,10 +139,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, e
     padding. A null or empty text is its end id alone. Rows with a null id, and repeated rows, are
     packed each for itself. An empty table gives no rows.
     """
-    path = path or repo_tokenizer("byte_bpe_50k.json")
-    n_groups = max(1, -(-input_bytes(docs, F.col(text_col)) // group_bytes))
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    dealt = docs.select(batch_of(doc_id, text, n_groups).alias("group"), doc_id.alias("doc_id"), text.alias("text")).repartition(shuffle_partitions(docs.sparkSession), "group")
+    path = path or public_tokenizer("byte_bpe_50k.json")
+    spark, rows = docs.sparkSession, documents_of(docs, id_col, text_col)
+    size = input_bytes(rows, F.col("text"))
+    n_groups = max(1, -(-size // group_bytes))
+    n_parts = partitions_for(spark, size, 128 << 20)
+    dealt = rows.select(batch_of(F.col("doc_id"), F.col("text"), n_groups).alias("group"), "doc_id", "text").repartition(n_parts, "group")
 
     def run(part: pa.Table) -> pa.Table:
         encode = codec(path).encode
