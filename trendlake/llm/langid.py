@@ -9,19 +9,19 @@ from __future__ import annotations
 
 import dataclasses
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: about so many documents a language, drawn by a hash of the id.
-DOCS_PER_LANGUAGE = 4000
-#: Words and n-grams kept a language, and over all languages; languages with most documents first.
-ENTRIES_PER_LANGUAGE, ENTRIES, MOST_LANGUAGES = 20_000, 1_000_000, 500
+from .common import documents_of, spread_out
+
 LONGEST = 4
+#: Count of an entry in a language that it was not seen in.
+UNSEEN = 0.5
 UNKNOWN = "und"
 _EDGE = "\x00"
 
@@ -47,15 +47,39 @@ def grams_of(word: str, n: int):
 
 @dataclasses.dataclass(frozen=True)
 class LanguageModel:
-    """languages in order; entries[n] are the known words (n = 0) or n-grams, scores[n] their rows."""
+    """Sparse log frequencies. entries[n] are the known words (n = 0) or n-grams, in order.
+
+    Entry i has scores[n][starts[n][i] : starts[n][i + 1]] in the languages of the same places of
+    owners[n], and in all others the score of an entry that was not seen, unseen[n].
+    """
 
     languages: list[str]
     entries: list[list[str]]
+    starts: list[np.ndarray]
+    owners: list[np.ndarray]
     scores: list[np.ndarray]
+    unseen: list[np.ndarray]
+    #: Tells models apart in a process that holds one for some time.
+    fit: str = dataclasses.field(default_factory=lambda: uuid.uuid4().hex)
 
-    @property
-    def key(self) -> int:
-        return hash((tuple(self.languages), tuple(map(len, self.entries)), *(s.tobytes()[:4096] for s in self.scores)))
+
+def model_of(counts: dict[tuple[str, int, str], int], languages: list[str]) -> LanguageModel:
+    """The model of counts of (language, size, entry); size 0 is a word."""
+    number = {lang: i for i, lang in enumerate(languages)}
+    columns: list[list] = [[], [], [], [], []]
+    for n in range(LONGEST + 1):
+        mine = sorted((entry, number[lang], c) for (lang, size, entry), c in counts.items() if size == n)
+        known = sorted({entry for entry, _, _ in mine})
+        owner, count = np.array([o for _, o, _ in mine], np.int32), np.array([c for _, _, c in mine], np.float64)
+        # As if every entry had been seen UNSEEN times more in every language.
+        total = np.bincount(owner, count, len(languages)) + UNSEEN * len(known)
+        spans = np.searchsorted([entry for entry, _, _ in mine], known) if mine else np.empty(0, np.int64)
+        columns[0].append(known)
+        columns[1].append(np.append(spans, len(mine)).astype(np.int64))
+        columns[2].append(owner)
+        columns[3].append(np.log((count + UNSEEN) / np.maximum(total[owner], 1)))
+        columns[4].append(np.log(UNSEEN / np.maximum(total, 1)))
+    return LanguageModel(languages, *columns)
 
 
 class _Scorer:
@@ -72,16 +96,22 @@ class _Scorer:
         self.rows: dict[str, int] = {}
         self.matrix = np.zeros((1024, len(self.model.languages) + 1))
 
+    def entry(self, n: int, at: int) -> np.ndarray:
+        m = self.model
+        out, span = m.unseen[n].copy(), slice(m.starts[n][at], m.starts[n][at + 1])
+        out[m.owners[n][span]] = m.scores[n][span]
+        return out
+
     def word(self, word: str) -> np.ndarray:
         at = self.known[0].get(word)
         if at is not None:
-            return self.model.scores[0][at]
+            return self.entry(0, at)
         total, edged, i = np.zeros(len(self.model.languages)), _EDGE + word + _EDGE, 0
         while i < len(edged):
             for n in range(min(LONGEST, len(edged) - i), 0, -1):
                 at = self.known[n].get(edged[i : i + n])
                 if at is not None:
-                    total += self.model.scores[n][at]
+                    total += self.entry(n, at)
                     break
             i += max(1, n - 1)  # the next gram starts inside this one
         return total
@@ -110,29 +140,31 @@ class _Scorer:
         return total
 
 
-_SCORERS: dict[int, _Scorer] = {}
+_SCORERS: dict[str, _Scorer] = {}
 
 
 def _scorer(model: LanguageModel) -> _Scorer:
-    if model.key not in _SCORERS:
+    if model.fit not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[model.key] = _Scorer(model)
-    return _SCORERS[model.key]
+        _SCORERS[model.fit] = _Scorer(model)
+    return _SCORERS[model.fit]
 
 
-def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 4000, entries_per_language: int = 20_000, least_count: int = 2) -> LanguageModel:
     """Counts words and n-grams in a bounded sample of the documents that satisfy `learnable`.
 
-    Rows with a null text, language or id are not learned from. The sample depends on ids alone.
-    What comes to the driver is at most ENTRIES counts.
+    Bounds of the fit: about `docs_per_language` documents of each language, drawn by a hash of the
+    id, and of their words and of their n-grams of each length the `entries_per_language` most
+    frequent that occur `least_count` times or more. All languages are learned. Rows with a null
+    text, language or id are not learned from. What comes to the driver is the counts of those
+    entries.
     """
-    usable = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return LanguageModel([], [[] for _ in range(LONGEST + 1)], [np.zeros((0, 0)) for _ in range(LONGEST + 1)])
-    shares = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(DOCS_PER_LANGUAGE / max(r["count"], DOCS_PER_LANGUAGE)))])
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = usable.filter(drawn < F.element_at(shares, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = documents_of(docs, id_col, text_col, lang=lang_col, learnable=learnable).filter("learnable AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # a row a language
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    shares = sizes.select("lang", (F.lit(docs_per_language) / F.greatest(F.col("n"), F.lit(docs_per_language))).alias("share"))
+    sample = spread_out(usable.join(F.broadcast(shares), "lang").filter(drawn < F.col("share")).select("lang", "text"))
 
     def count(batches):
         for batch in batches:
@@ -151,22 +183,9 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes_, pa.int32()), pa.array(entries, pa.string()), pa.array(list(rows.values()), pa.int64())], ["lang", "size", "entry", "n"])
 
     counts = sample.mapInArrow(count, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
-    each = max(1, min(ENTRIES_PER_LANGUAGE, ENTRIES // (len(sizes) * (LONGEST + 1))))
-    top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry")
-    rows = counts.filter("n > 1").withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= each).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    number = {lang: i for i, lang in enumerate(languages)}
-    entries, scores = [], []
-    for n in range(LONGEST + 1):
-        mine = [r for r in rows if r["size"] == n]
-        known = sorted({r["entry"] for r in mine})
-        at = {e: i for i, e in enumerate(known)}
-        table = np.full((len(known), len(languages)), 0.5)
-        for r in mine:
-            table[at[r["entry"]], number[r["lang"]]] += r["n"]
-        entries.append(known)
-        scores.append(np.log(table / np.maximum(table.sum(0), 1)))
-    return LanguageModel(languages, entries, scores)
+    top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry")  # a group limit before the shuffle
+    rows = counts.filter(F.col("n") >= least_count).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= entries_per_language).collect()
+    return model_of({(r["lang"], r["size"], r["entry"]): r["n"] for r in rows}, languages)
 
 
 def identify(docs: DataFrame, model: LanguageModel, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,20 +196,22 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column, id_col: st
     null ids are kept (held_out is false without an id). An empty table gives no rows.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit
+
     def run(batches):
-        scorer = _scorer(model)
+        scorer = _scorer(shared.value)
         for batch in batches:
             preds, shares = [], []
             for text in batch.column(2).to_pylist():
                 total = scorer.score(text or "")
-                if not total[-1] or not model.languages:
+                if not total[-1] or not scorer.model.languages:
                     preds.append(UNKNOWN)
                     shares.append(0.0)
                     continue
                 best = int(np.argmax(total[:-1]))
-                preds.append(model.languages[best])
+                preds.append(scorer.model.languages[best])
                 shares.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = documents_of(docs, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False))).select("doc_id", "held_out", "text")
+    return spread_out(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
