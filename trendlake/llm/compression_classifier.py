@@ -17,11 +17,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fit. Scoring reads whole texts; the fit reads at most so many texts a label, and
-#: of longer ones a slice of so many characters from the middle for the dictionaries.
-PER_LABEL, SLICE_CHARS, DICTIONARY_BYTES, LEVEL = 2000, 4000, 112_640, 3
-#: Longest text used whole in calibration; longer ones are left to the others of the sample.
-CALIBRATION_CHARS = 40_000
+from .common import documents_of, spread_out
+
+DICTIONARY_BYTES, LEVEL = 112_640, 3
 
 
 @dataclasses.dataclass(frozen=True)
@@ -74,22 +72,31 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"\n".join(samples)[:DICTIONARY_BYTES] or b"\n" * 8
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CompressionModel:
+def middle(text: Column, chars: int) -> Column:
+    """A text's middle, of so many characters; the whole text if it has no more."""
+    start = F.greatest(F.lit(0), F.floor((F.length(text) - F.lit(chars)) / 2)).cast("int")
+    return F.substring(text, start + 1, F.lit(chars))
+
+
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, slice_chars: int = 4000, calibration_chars: int = 20_000) -> CompressionModel:
     """Fits the model on labelled texts whose label row satisfies `learnable`.
 
-    A bounded sample: PER_LABEL documents of each label, those with the least hash of the id, so
-    the choice doesn't depend on the order of rows. Labels that are null or not 0 or 1 are left
-    out; a document with several labels has the least one. Without texts of both labels the model
-    gives every text the share of good labels (0.5 without any label).
+    Bounds of the fit (scoring reads whole texts): `per_label` documents of each label, those with
+    the least hash of the id, so the choice doesn't depend on the order of rows; of each, the middle
+    `slice_chars` characters go into a dictionary, or the middle `calibration_chars` into the
+    calibration. Texts of any length take part. Labels that are null or not 0 or 1 are left out; a
+    document with several labels has the least one, and one whose id has several rows the least of
+    their texts. Without texts of both labels the model gives every text the share of good labels
+    (0.5 without any label).
     """
     spark = docs.sparkSession
     known = labels.filter(learnable).filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
-    ranks = [known.filter(F.col("_label") == v).orderBy(F.xxhash64("_id"), "_id").limit(PER_LABEL).collect() for v in (0, 1)]
+    ranks = [known.filter(F.col("_label") == v).orderBy(F.xxhash64("_id"), "_id").limit(per_label).collect() for v in (0, 1)]
     chosen = spark.createDataFrame([tuple(r) for rows in ranks for r in rows], "_id long, _label int")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= CALIBRATION_CHARS))
-    # At most 2 * PER_LABEL rows of 12 bytes are broadcast.
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text").dropDuplicates(["_id"]).collect()
+    texts = documents_of(docs, id_col, text_col).filter("text IS NOT NULL").select(F.col("doc_id").alias("_id"), middle(F.col("text"), calibration_chars).alias("_text"))
+    # At most 2 * per_label rows of 12 bytes are broadcast.
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     rows.sort(key=lambda r: r["_id"])
     share = float(np.mean([r["_label"] for r in rows])) if rows else 0.5
     if share in (0.0, 1.0) or len(rows) < 8:
@@ -101,8 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
         if i % 3 == 2:
             calibration.append((r["_text"].encode(), r["_label"]))
         else:
-            at = max(0, (len(r["_text"]) - SLICE_CHARS) // 2)
-            known_texts[r["_label"]].append(r["_text"][at : at + SLICE_CHARS].encode())
+            at = max(0, (len(r["_text"]) - slice_chars) // 2)
+            known_texts[r["_label"]].append(r["_text"][at : at + slice_chars].encode())
     good, bad = _dictionary(known_texts[1]), _dictionary(known_texts[0])
     y = np.array([v for _, v in calibration], np.float64)
     w, centre, scale = _fit(features(good, bad, [t for t, _ in calibration]), y)
@@ -137,5 +144,5 @@ def score_documents(docs: DataFrame, model: CompressionModel, held_out: Column,
             found = model.scores(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = documents_of(docs, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False))).select("doc_id", "held_out", "text")
+    return spread_out(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
