@@ -13,7 +13,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, documents_of, spread_out
 
 #: Rules in the order of their bits: name, and the condition under which a document fails.
 RULES: list[tuple[str, str]] = [
@@ -67,8 +67,7 @@ def _sorted_trigrams(words: Column) -> Column:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the measurements of every whole text; null is empty, rows are kept as they come."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = spread_out(documents_of(docs, id_col, text_col)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spaced = F.translate("text", SPACES, " " * len(SPACES))
     # One stage a step, so that no array is computed anew for each of its elements.
     rows = rows.select("doc_id", "text", F.array_remove(F.split(spaced, " ", -1), "").alias("words"))
