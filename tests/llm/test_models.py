@@ -1,11 +1,16 @@
 """Language, rules, quality and fingerprints: held-out accuracy, SQL, brute force, edge cases."""
 
 import hashlib
+import math
+import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from trendlake.llm import compression_classifier, langid, order_minhash, quality_rules
@@ -49,6 +54,59 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert langid.identify(no_docs, model, F.lit(True)).count() == 0
 
 
+def plain_words(text):
+    """Letters with the marks after them, lower case, by one character after the other."""
+    out, run = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] == "L" or (run and unicodedata.category(c)[0] == "M"):
+            run += c
+        elif run:
+            out.append(run)
+            run = ""
+    return out
+
+
+def brute_languages(rows, text, least_count=2):
+    """(language, share) of a text by counts of (text, language) rows, in plain Python."""
+    langs = sorted({lang for _, lang in rows})
+    counts = {}
+    for t, lang in rows:
+        for w in plain_words(t):
+            edged = "\0" + w + "\0"
+            for size in range(5):
+                for e in [w] if size == 0 else [edged[i : i + size] for i in range(len(edged) - size + 1)]:
+                    counts[lang, size, e] = counts.get((lang, size, e), 0) + 1
+    counts = {k: n for k, n in counts.items() if n >= least_count}
+    known = [{e for _, size, e in counts if size == n} for n in range(5)]
+    total = {(lang, n): sum(counts.get((lang, n, e), 0) + 0.5 for e in known[n]) for lang in langs for n in range(5)}
+    score = lambda lang, n, e: math.log((counts.get((lang, n, e), 0) + 0.5) / total[lang, n])
+    sums = dict.fromkeys(langs, 0.0)
+    for w in plain_words(text):
+        if w in known[0]:
+            parts = [(0, w)]
+        else:
+            parts, edged, i = [], "\0" + w + "\0", 0
+            while i < len(edged):
+                n = next((n for n in (4, 3, 2, 1) if i + n <= len(edged) and edged[i : i + n] in known[n]), 0)
+                parts += [(n, edged[i : i + n])] if n else []
+                i += max(1, n - 1)
+        for n, e in parts:
+            for lang in langs:
+                sums[lang] += score(lang, n, e)
+    best = max(langs, key=lambda lang: (sums[lang], -langs.index(lang)))
+    return best, 1 / sum(math.exp(s - sums[best]) for s in sums.values())
+
+
+def test_language_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) < 3000")
+    rows = [(r["text"], r["lang"]) for r in docs.collect()]
+    got = langid.identify(docs.limit(25), langid.train(docs, F.lit(True)), F.lit(True)).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got:
+        lang, share = brute_languages(rows, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(share, rel=1e-6, abs=1e-12)
+
+
 def brute_rules(t):
     t = t or ""
     w = words(t)
@@ -98,6 +156,33 @@ def test_quality_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_quality_scores_by_brute_force(spark, edge_docs):
+    """Sizes under each dictionary by the library itself, the formula in plain Python."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = compression_classifier.train(docs, labels, F.lit(True))
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    want = []
+    for d, text in source(edge_docs):
+        t = (text or "").encode()
+        g, b = size(model.good, t), size(model.bad, t)
+        x = ((b - g) / (b + g), math.log((g + 1) / (len(t) + 16)), math.log(len(t) + 16))
+        z = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.centre, model.scale))
+        want.append((d, round(1 / (1 + math.exp(-max(-40, min(40, z)))), 9)))
+    got = compression_classifier.score_documents(edge_docs, model, F.lit(True)).collect()
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in got) == Counter(want)
+
+
+def test_long_labelled_texts_take_part(spark):
+    r = random.Random(3)
+    rows = [(i, ("good words here " if i % 2 else "BAD!!! ### ") * 3000 + str(r.random())) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = compression_classifier.train(docs, labels, F.lit(True))
+    assert b"good words" in model.good and b"BAD!!!" in model.bad
+    assert all(x["predicted"] == x["doc_id"] % 2 for x in compression_classifier.score_documents(docs, model, F.lit(True)).collect())
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(100, 1, 0), (None, 1, 0), (97, None, 0)], "doc_id long, quality int, toxic int")
     model = compression_classifier.train(edge_docs, labels, F.lit(True))
@@ -121,6 +206,43 @@ def test_order_minhash(edge_docs):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def brute_order_minhash(text):
+    """For each order the two least numbered 3-mers, in text order; hashes by whole numbers."""
+    top, a, b = 2**64, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * b) % top
+        x = ((x ^ (x >> 27)) * a) % top
+        return x ^ (x >> 31)
+
+    pieces = re.findall(r"[^\x20\x09-\x0D]{1,8}", text)
+    if not pieces:
+        return "0" * 256
+    codes = [xxhash.xxh3_64_intdigest(p.encode()) for p in pieces]
+    seen, numbered = Counter(), []
+    for i in range(max(1, len(codes) - 2)):
+        h = 0
+        for c in codes[i : i + 3]:
+            h = (h * a + c) % top
+        numbered.append(mix((h + seen[h] * b) % top))
+        seen[h] += 1
+    out = []
+    for slot in range(32):
+        factor = xxhash.xxh3_64_intdigest(slot.to_bytes(8, "little")) | 1
+        chosen = sorted(sorted(range(len(numbered)), key=lambda i: (numbered[i] * factor % top, i))[:2])
+        total = 0
+        for i in chosen:
+            total = mix((total * a + numbered[i]) % top)
+        out.append(f"{total >> 32:08x}")
+    return "".join(out)
+
+
+def test_order_minhash_by_brute_force(edge_docs):
+    for _, t in source(edge_docs):
+        if len(t or "") < 3000:
+            assert order_minhash.written(order_minhash.fingerprint(t or "")) == brute_order_minhash(t or "")
+
+
 def test_order_minhash_of_one_and_none(spark, no_docs):
     one = spark.createDataFrame([(1, "abcdefgh ijkl")], "doc_id long, text string")
     row = order_minhash.compare_with_next(one).collect()[0]

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from trendlake.llm import bpe, chat_format, packing
 from trendlake.llm import queries as Q
-from trendlake.llm.common import repo_tokenizer
+from trendlake.llm.common import public_tokenizer
 
 tokenizers = pytest.importorskip("tokenizers")
-WORD, BYTE = repo_tokenizer("word_bpe_49k.json"), repo_tokenizer("byte_bpe_50k.json")
+WORD, BYTE = public_tokenizer("word_bpe_49k.json"), public_tokenizer("byte_bpe_50k.json")
 pytestmark = pytest.mark.skipif(not os.path.exists(WORD), reason="no vocabulary files")
 
 
@@ -122,51 +122,105 @@ def test_pack_covers_every_token_once(lengths):
     assert len(bins) <= -(-sum(lengths) // 10) + 1
 
 
-def brute_repair(roles):
-    """The least cost over all sequences of choices."""
-    best = {0: 0}
-    for role in roles:
-        new = {}
-        for s, c in best.items():
-            for more, to, _ in chat_format.CHOICES[role][s]:
-                new[to] = min(new.get(to, 10**9), c + more)
-        best = new
-    return min(best.values())
-
-
-def legal(pieces):
-    roles = [line[2:-2] for line in "".join(pieces).split("\n") if line.startswith("<|") and line != "<|end|>"]
-    return roles[:1] in (["system"], ["user"]) and all((a, b) in {("system", "user"), ("user", "assistant"), ("assistant", "user")} for a, b in zip(roles, roles[1:]))
+NEXT = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+ORDER = ["", "system", "user", "assistant"]
+
+
+def between(last, role):
+    """The fewest turns to insert after `last` so that `role` may follow, or None."""
+    for n in range(3):
+        for path in itertools.product(ORDER[1:], repeat=n):
+            if all(b in NEXT[a] for a, b in zip((last, *path), (*path, role))):
+                return path
+    return None
+
+
+def brute_repairs(turns):
+    """Every repair of a short chat, by trying all: the rows of the best, (new_role, action, n_inserted, cost, piece)."""
+    done = [([], "", 0)]  # rows, last role, cost
+    for role, _ in turns:
+        own = (role or "").strip().lower()
+        new = []
+        for rows, last, cost in done:
+            for to in ORDER[1:]:
+                path = between(last, to)
+                if path is not None:
+                    c = 5 * len(path) + (0 if to == own else 4)
+                    new.append(([*rows, (to, "keep" if to == own else "relabel", path, c)], to, cost + c))
+            if last:
+                c = 1 if last == own else 7
+                new.append(([*rows, (last, "merge", (), c)], last, cost + c))
+        done = new
+    least = min(cost for _, _, cost in done)
+    best = min((rows for rows, _, cost in done if cost == least), key=lambda rows: ([ORDER.index(r[0]) for r in rows[::-1]], [(r[3], r[1]) for r in rows[::-1]]))
+    out = []
+    for i, ((role, action, path, cost), (_, text)) in enumerate(zip(best, turns)):
+        if action == "merge":
+            piece = "\n" + (text or "")
+        else:
+            piece = ("<|end|>\n" if i else "") + "".join(f"<|{r}|>\n<|end|>\n" for r in path) + f"<|{role}|>\n" + (text or "")
+        out.append((role, action, len(path), cost, piece + ("<|end|>\n" if i == len(turns) - 1 else "")))
+    return out
+
+
+def test_stretches_join_in_any_grouping():
+    """The sequence that counts is the same however a chat is cut up, on thousands of random ones."""
+    r = random.Random(8)
+    for _ in range(3000):
+        roles = [r.randrange(4) for _ in range(r.randrange(1, 12))]
+        whole = [step[2] for step in chat_format.best_path(roles, chat_format.START, None)]
+        cuts = sorted(r.sample(range(1, len(roles)), r.randrange(0, len(roles)))) if len(roles) > 1 else []
+        parts = [roles[a:b] for a, b in zip([0, *cuts], [*cuts, len(roles)])]
+        found = [chat_format.whole_stretch(p) for p in parts]
+        until = list(itertools.accumulate(found, chat_format.Stretch.then))
+        state, states = until[-1].best_end(0), []
+        for i in range(len(parts) - 1, -1, -1):
+            before = until[i - 1].between(found[i], 0, state) if i else 0
+            states = [step[2] for step in chat_format.best_path(parts[i], before, state)] + states
+            state = before
+        assert states == whole
+
+
+def legal(text):
+    roles = [line[2:-2] for line in text.split("\n") if line in ("<|system|>", "<|user|>", "<|assistant|>")]
+    return all(b in NEXT[a] for a, b in zip(["", *roles], roles))
+
+
+@pytest.fixture(scope="module")
+def chats():
+    """Short chats of all kinds, a long one, one without an id, repeated turns, null turns and texts."""
+    r = random.Random(5)
+    kinds = ["system", "user", "assistant", "User ", "tool", None, ""]
+    rows = [(c, t, r.choice(kinds), None if r.random() < 0.1 else f"text {c} {t}") for c in range(60) for t in range(r.randrange(1, 7))]
+    rows += [(77, t, r.choice(kinds), f"long {t}") for t in range(2000)]
+    rows += [(None, t, r.choice(kinds), "no id") for t in range(4)] + [(5, 0, "user", "again"), (5, 0, "user", "again"), (6, None, "user", "nowhere")]
+    return rows
+
+
+def rendered(spark, rows, n_parts):
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit("clash"))
+    got = chat_format.repair_conversations(turns.repartition(3), n_parts=n_parts).collect()
+    return Counter((g["conv_id"], g["turn"], g["role"], g["new_role"], g["action"], g["n_inserted"], g["cost"], g["piece"]) for g in got)
 
 
-@pytest.mark.parametrize("parts,chunk", [(1, 4096), (4, 4096), (4, 3)])
-def test_chats(spark, parts, chunk):
-    r = random.Random(6)
-    names = ["user", "assistant", "system", "Assistant ", None, "tool"]
-    rows = [(c, t, r.choice(names), r.choice(["hi", "", None, "two\nlines"])) for c in range(40) for t in range(r.randint(1, 9))]
-    rows += [(77, t, r.choice(names), "x") for t in range(300)] + [(None, 1, "user", "q"), (None, None, "assistant", "a"), (5, 2, "user", "again"), (5, 2, "user", "again")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit("clash"))
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        got = chat_format.repair_conversations(turns, chunk=chunk).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert Counter((g["conv_id"], g["turn"], g["role"]) for g in got) == Counter(x[:3] for x in rows)
+def test_chats(spark, chats):
+    got = rendered(spark, chats, 1)
+    by = {}
+    for row in chats:
+        by.setdefault(row[0], []).append(row)
     key = lambda x: (x is not None, x if x is not None else 0)
-    by = defaultdict(list)
-    for row in rows:
-        by[row[0]].append(row)
-    costs, pieces = Counter(), defaultdict(list)
-    for g in got:
-        costs[g["conv_id"]] += g["cost"]
-        pieces[g["conv_id"]].append(g)
     for conv, mine in by.items():
-        mine.sort(key=lambda x: (key(x[1]), x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))
-        roles = [chat_format.role_number(x[2]) for x in mine]
-        assert costs[conv] == brute_repair(roles)
-        if conv not in (5, 77):
-            done = sorted(pieces[conv], key=lambda g: (key(g["turn"]), g["role"] is not None, g["role"] or ""))
-            assert legal([g["piece"] for g in done])
+        mine.sort(key=lambda x: (key(x[1]), (x[2] is not None, x[2] or ""), (x[3] is not None, x[3] or "")))
+        if conv != 77:
+            want = Counter((conv, t, role, *done) for (_, t, role, _), done in zip(mine, brute_repairs([(x[2], x[3]) for x in mine])))
+            assert want == Counter({k: n for k, n in got.items() if k[0] == conv})
+    long = {k[1]: k[7] for k in got if k[0] == 77}
+    assert legal("".join(long[t] for t in range(2000)))
+
+
+@pytest.mark.parametrize("n_parts", [2, 5, 40])
+def test_chats_do_not_depend_on_partitions(spark, chats, n_parts):
+    assert rendered(spark, chats, n_parts) == rendered(spark, chats, 1)
 
 
 def test_a_good_chat_is_left_alone(spark):
