@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from . import compression_classifier, langid, quality_rules, sql
 from .bpe import encode_documents
 from .chat_format import repair_conversations
+from .common import checkpoint_dir
 from .line_dedup import dedup_lines
 from .order_minhash import compare_with_next
 from .packing import pack_documents
 from .simhash_dedup import near_duplicates
-from .substring_dedup import dedup_substrings
+from .substring_dedup import dedup_in_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def fold(n: int) -> Column:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(_documents(spark, sf_dir))
+    return dedup_in_batches(_documents(spark, sf_dir), f"{checkpoint_dir(spark)}/substring-index-{uuid.uuid4().hex}")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return dedup_lines(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

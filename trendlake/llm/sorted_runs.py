@@ -1,16 +1,26 @@
-"""Exchange of sorted runs of hashes: what a log-structured index does, spread over Spark tasks.
+"""Sorted runs of hashes and their merge: the log-structured index, spread over Spark tasks.
 
 Each batch of documents makes one sorted run of 64-bit keys without repeats, cut into ranges of
-the hash space ("buckets"). A bucket's task merges the runs of all batches and answers each run
-with a bitmap in the run's own order. A key that is very common costs one entry a batch, not one
-a row, so no bucket grows with the number of copies; the answers are one bit an entry.
+the hash space ("buckets"), which are dealt to tasks in order. A task takes one bucket after the
+other, merges the runs of all batches, and answers each run with a bitmap in the run's own order.
+A key that is very common costs one entry a batch, not one a row, so no bucket grows with the
+number of copies. There are as many buckets as make one of them a few megabytes; a run has a row
+only where it has keys, so rows never outnumber entries.
+
+Stored runs of earlier batches lie bucketed in files. New runs are exchanged to them; the stored
+ones stay where they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import shuffle_partitions, whole_keys
 
 RUN_SCHEMA = "batch int, bucket int, round int, keys binary, more binary, owners binary"
 REPLY_SCHEMA = "batch int, bucket int, round int, bits binary"
@@ -21,6 +31,18 @@ _REPLY = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("round", pa.
 HISTORY = -1
 #: Owner of a key without a document id: sorts before all ids.
 NULL_OWNER = -(1 << 63)
+#: Bytes of keys that a bucket should hold.
+BUCKET_BYTES = 8 << 20
+
+
+def bucket_count(text_bytes: int, spark: SparkSession) -> int:
+    """Buckets for runs of so many bytes of text, whose keys take up to four times as many.
+
+    input_bytes may be three times the texts, hence the factor. Batches and buckets both follow
+    the bytes, not the session's partitions: their product is the number of rows that runs have
+    at most.
+    """
+    return max(-(-4 * text_bytes // (3 * BUCKET_BYTES)), 4 * spark.sparkContext.defaultParallelism)
 
 
 def bucket_edges(n_buckets: int) -> np.ndarray:
@@ -36,7 +58,7 @@ def cut(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 def run_table(batch: int, round_: int, n_buckets: int, keys: np.ndarray, more: np.ndarray | None = None, owners: np.ndarray | None = None) -> pa.Table:
     """The rows of one batch's run, a row for each bucket that has keys."""
     at = cut(keys, n_buckets)
-    full = [i for i in range(n_buckets) if at[i + 1] > at[i]]
+    full = np.flatnonzero(np.diff(at)).tolist()
 
     def parts(values):
         if values is None:
@@ -52,25 +74,25 @@ def _joined(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(arrays), np.array([len(x) for x in arrays])
 
 
-def _answers(table: pa.Table, flags: np.ndarray, sizes: np.ndarray, round_: int) -> pa.Table:
+def _answers(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
     ends = np.cumsum(sizes)
-    batches, buckets = table.column("batch").to_pylist(), table.column("bucket").to_pylist()
-    keep = [i for i in range(len(sizes)) if batches[i] != HISTORY and flags[ends[i] - sizes[i] : ends[i]].any()]
+    columns = [table.column(c).to_pylist() for c in ("batch", "bucket", "round")]
+    keep = [i for i in range(len(sizes)) if columns[0][i] != HISTORY and flags[ends[i] - sizes[i] : ends[i]].any()]
     bits = [np.packbits(flags[ends[i] - sizes[i] : ends[i]]).tobytes() for i in keep]
-    return pa.Table.from_arrays([pa.array([batches[i] for i in keep], pa.int32()), pa.array([buckets[i] for i in keep], pa.int32()), pa.array([round_] * len(keep), pa.int32()), pa.array(bits, pa.binary())], schema=_REPLY)
+    return pa.Table.from_arrays([*[pa.array([c[i] for i in keep], pa.int32()) for c in columns], pa.array(bits, pa.binary())], schema=_REPLY)
 
 
 def _merge_shared(table: pa.Table) -> pa.Table:
     """Marks keys that lie in two runs or more."""
     keys, sizes = _joined(table.column("keys"), np.uint64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable")  # a merge of what is sorted already
     same = keys[order[1:]] == keys[order[:-1]]
     hit = np.zeros(len(keys), bool)
     hit[1:] |= same
     hit[:-1] |= same
     flags = np.empty(len(keys), bool)
     flags[order] = hit
-    return _answers(table, flags, sizes, table.column("round")[0].as_py())
+    return _answers(table, flags, sizes)
 
 
 def _merge_first(table: pa.Table) -> pa.Table:
@@ -86,17 +108,76 @@ def _merge_first(table: pa.Table) -> pa.Table:
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     flags = np.empty(len(k), bool)
     flags[order] = ~p & (p[head] | (o > o[head]))
-    return _answers(table, flags, sizes, table.column("round")[0].as_py())
+    return _answers(table, flags, sizes)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table a bucket of a stream that is sorted by its first column, the bucket."""
+    for table in whole_keys(batches, 1):
+        buckets = table.column(0).to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True])))
+        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield table.slice(start, end - start)
+
+
+def ranged(runs: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows dealt to tasks by ranges of buckets, sorted by bucket within each."""
+    n = min(n_buckets, max(shuffle_partitions(runs.sparkSession), n_buckets // 4))
+    rows = runs.select("bucket", "batch", "round", "keys", "more", "owners")
+    return rows.repartitionById(n, (F.col("bucket").cast("long") * n / F.lit(n_buckets)).cast("int")).sortWithinPartitions("bucket")
+
+
+def _merged(runs: DataFrame, base: DataFrame | None, n_buckets: int, merge) -> DataFrame:
+    if base is None:
+
+        def run(batches):
+            for table in _by_bucket(batches):
+                yield from merge(table).to_batches()
+
+        return ranged(runs, n_buckets).mapInArrow(run, REPLY_SCHEMA)
+
+    def both(new: pa.Table, old: pa.Table) -> pa.Table:
+        return merge(pa.concat_tables([new, old.select(new.column_names)])) if len(new) else _REPLY.empty_table()
+
+    return runs.groupBy("bucket").cogroup(base.select(*runs.columns).groupBy("bucket")).applyInArrow(both, REPLY_SCHEMA)
 
 
-def shared(runs: DataFrame) -> DataFrame:
+def shared(runs: DataFrame, n_buckets: int, base: DataFrame | None = None) -> DataFrame:
     """For each run a bitmap of the keys that some other run has as well; runs without any are left out."""
-    return runs.groupBy("bucket").applyInArrow(_merge_shared, REPLY_SCHEMA)
+    return _merged(runs, base, n_buckets, _merge_shared)
 
 
-def not_first(runs: DataFrame) -> DataFrame:
+def not_first(runs: DataFrame, n_buckets: int, base: DataFrame | None = None) -> DataFrame:
     """For each run a bitmap of the keys that an earlier owner holds; runs without any are left out."""
-    return runs.groupBy("bucket").applyInArrow(_merge_first, REPLY_SCHEMA)
+    return _merged(runs, base, n_buckets, _merge_first)
+
+
+def compacted(runs: DataFrame, n_files: int) -> DataFrame:
+    """One sorted run without repeats a round from all runs, a row a round and bucket.
+
+    Rows are dealt by the hash of the bucket, as a table bucketed by it into `n_files` has them.
+    """
+
+    def run(batches):
+        for table in _by_bucket(batches):
+            rounds = table.column("round").to_numpy()
+            for round_ in np.unique(rounds).tolist():
+                part = table.take(pa.array(np.flatnonzero(rounds == round_)))
+                keys, _ = _joined(part.column("keys"), np.uint64)
+                if part.column("more").null_count:
+                    columns = [np.unique(keys).tobytes(), None, None]
+                else:
+                    more, owners = _joined(part.column("more"), np.uint64)[0], _joined(part.column("owners"), np.int64)[0]
+                    by = np.lexsort((owners, more, keys))
+                    k, m = keys[by], more[by]
+                    new = np.ones(len(k), bool)
+                    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+                    columns = [k[new].tobytes(), m[new].tobytes(), owners[by][new].tobytes()]
+                row = {"batch": HISTORY, "bucket": part.column("bucket")[0].as_py(), "round": round_, "keys": columns[0], "more": columns[1], "owners": columns[2]}
+                yield from pa.Table.from_pylist([row], schema=_RUN).to_batches()
+
+    rows = runs.select("bucket", "batch", "round", "keys", "more", "owners")
+    return rows.repartition(n_files, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RUN_SCHEMA)
 
 
 def flags_of(replies: pa.Table, round_: int, keys: np.ndarray, n_buckets: int) -> np.ndarray:

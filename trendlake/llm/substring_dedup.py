@@ -2,22 +2,21 @@
 
 A window is `width` consecutive words of one document. Every batch of documents is made into
 sorted runs of hashes, which are merge-joined with the runs of all other batches and with the
-runs of earlier calls (the index), in two rounds:
+stored runs of earlier calls (the index), in two rounds:
 
 1. anchors: of the `gram`-word grams inside a window, the one with the least hash. Equal windows
    have equal anchors, so a window whose anchor occurs once cannot repeat. Neighbouring windows
    share anchors, so this run has about 2 / (width - gram + 2) entries a word;
-2. windows: only those with a repeated anchor, by 128 bits of hash and with their first owner.
-   This verifies the candidates: an equal anchor in different surroundings ends here.
+2. windows: only those with a repeated anchor, by a 128-bit digest of the words themselves and
+   with their first owner. This verifies the candidates: it owes nothing to the hashes of round 1.
 
-SubstringIndex keeps the runs as immutable Parquet files and compacts them.
+SubstringIndex keeps the runs as immutable files and compacts them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlake.operators.manifest import Manifest
+
 from . import sorted_runs as runs
-from .common import batch_count, batch_of, positional, shuffle_partitions
+from .common import batch_count, batch_of, input_bytes, partitions_for, positional, shuffle_partitions
+from .words import Texts
 
 ANCHORS, WINDOWS = 0, 1
-_WORD_AND_SPACE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class _WordHashes(dict):
-    """Hash of a word, remembered; forgets all when it has grown to `most` words."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-_HASHES = _WordHashes()
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _A
     x += b
@@ -89,15 +75,8 @@ class _Batch:
     def __init__(self, ids: list, texts: list, width: int, gram: int):
         self.width, self.gram = width, gram
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b""))
-        self.texts = [texts[i] or b"" for i in self.order]
-        hashes, get = [], _HASHES.__getitem__
-        for text in self.texts:
-            words = text.split()  # of bytes: splits at U+0020 and U+0009 to U+000D
-            hashes.append(np.fromiter(map(get, words), np.uint64, len(words)))
-        self.n_words = np.array([len(x) for x in hashes], np.int64)
-        self.ends = np.cumsum(self.n_words)
-        self.words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.row = np.repeat(np.arange(len(hashes), dtype=np.int32), self.n_words)
+        self.texts = Texts([texts[i] or b"" for i in self.order])
+        self.words, self.row = self.texts.words, self.texts.row_of_words()
         self.owner = np.array([runs.NULL_OWNER if ids[i] is None else ids[i] for i in self.order], np.int64)
         n = max(0, len(self.words) - width + 1)
         self.valid = self.row[:n] == self.row[width - 1 :] if n else np.empty(0, bool)
@@ -130,8 +109,7 @@ class _Batch:
             found = hit[at] == self.g
             near[found] = self.g[found]
         self.start = np.flatnonzero(self.valid & (_sliding(near, self.width - self.gram + 1, np.minimum) == self.least))
-        high = _grams(self.words, self.width)[self.start]
-        low = _grams(self.words * _C + _A, self.width)[self.start]
+        high, low = self.digests()
         order = np.argsort(high, kind="stable")
         h, m = high[order], low[order]
         if ((h[1:] == h[:-1]) & (m[1:] != m[:-1])).any():
@@ -155,16 +133,46 @@ class _Batch:
         edge[start + self.width] -= 1
         return np.cumsum(edge[:-1]) > 0
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of a 128-bit digest of the words of each candidate, with one space after each."""
+        body, begin = self.texts.spaced()
+        view, digest = memoryview(body), xxhash.xxh3_128_digest
+        spans = zip(begin[self.start].tolist(), begin[self.start + self.width].tolist())
+        both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in spans]), ">u8").astype(np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
-def _history(index: DataFrame | None, round_: int, runs_: DataFrame) -> DataFrame:
-    return runs_ if index is None else runs_.unionByName(index.filter(F.col("round") == round_))
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, gram: int = 6, emit: str = "digest", index: DataFrame | None = None, n_buckets: int | None = None) -> DataFrame:
+    def lost(self, gone: np.ndarray) -> np.ndarray:
+        """Words that each document loses."""
+        total = np.concatenate(([0], np.cumsum(gone)))
+        return total[self.texts.last] - total[self.texts.first]
+
+    def kept_words(self, gone: np.ndarray) -> list[bytes]:
+        """Of each document the words that stay, joined by one space."""
+        body, begin = self.texts.spaced()
+        stays = ~gone
+        kept = np.frombuffer(body, np.uint8)[np.repeat(stays, np.diff(begin))].tobytes()
+        at = np.concatenate(([0], np.cumsum(np.diff(begin) * stays)))
+        return [kept[a : max(a, b - 1)] for a, b in zip(at[self.texts.first].tolist(), at[self.texts.last].tolist())]
+
+    def kept_texts(self, gone: np.ndarray) -> list[bytes]:
+        """Each text without the words that go and the white space after them."""
+        t = self.texts
+        until = np.append(t.starts[1:], 0)  # a word's reach: to the next word, or to the end of its text
+        final = t.last[t.last > t.first] - 1
+        until[final] = t.end[t.last > t.first]
+        edge = np.zeros(len(t.data) + 1, np.int8)
+        np.add.at(edge, t.starts[gone], 1)
+        np.add.at(edge, until[gone], -1)
+        stays = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        kept, at = t.data[stays].tobytes(), np.concatenate(([0], np.cumsum(stays)))
+        return [kept[a:b] for a, b in zip(at[t.begin].tolist(), at[t.end].tolist())]
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, gram: int = 6, emit: str = "digest", base: DataFrame | None = None, young: DataFrame | None = None, n_buckets: int | None = None) -> DataFrame:
     """Removes each word covered by a window of `width` words that also starts earlier.
 
-    Earlier: in a document with a smaller id, or in the same document further up, or in `index`
-    (runs of earlier calls, see SubstringIndex). Windows are judged on the input.
+    Earlier: in a document with a smaller id, or in the same document further up, or in an index
+    (`base` and `young`, its runs; see SubstringIndex). Windows are judged on the input.
 
     emit="digest": doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space), one row
     for each input row. emit="documents": the input's columns, the text without the removed words
@@ -177,10 +185,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark, (table, names) = docs.sparkSession, positional(docs)
     doc_id, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
-    n_buckets = n_buckets or shuffle_partitions(spark)
-    n_batches = batch_count(docs, F.col(text_col))
+    size = input_bytes(table, F.col(text))
+    n_buckets = n_buckets or runs.bucket_count(size, spark)
+    n_batches = batch_count(size, spark)
     columns = table.columns if emit == "documents" else [doc_id, text]
-    dealt = table.select(batch_of(F.col(doc_id).cast("long"), F.col(text), n_batches).alias("batch"), *columns).repartition(shuffle_partitions(spark), "batch")
+    dealt = table.select(batch_of(F.col(doc_id).cast("long"), F.col(text), n_batches).alias("batch"), *columns).repartition(partitions_for(spark, size, 128 << 20), "batch")
 
     def batch(part: pa.Table) -> _Batch:
         x = _Batch(part.column(doc_id).cast(pa.int64()).to_pylist(), part.column(text).cast(pa.binary()).to_pylist(), width, gram)
@@ -197,42 +206,37 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def full_runs(part: pa.Table) -> pa.Table:
         """Both runs with all windows: later batches may repeat any of them."""
-        x, number = batch(part), part.column("batch")[0].as_py()
-        anchors = runs.run_table(number, ANCHORS, n_buckets, x.keys)
+        x = batch(part)
+        anchors = runs.run_table(runs.HISTORY, ANCHORS, n_buckets, x.keys)
         x.candidates(np.ones(len(x.keys), bool))
-        return pa.concat_tables([anchors, runs.run_table(number, WINDOWS, n_buckets, x.high, x.more, x.first)])
+        return pa.concat_tables([anchors, runs.run_table(runs.HISTORY, WINDOWS, n_buckets, x.high, x.more, x.first)])
 
     def keep(part: pa.Table, replies: pa.Table) -> pa.Table:
         x = batch(part)
         x.candidates(runs.flags_of(replies, ANCHORS, x.keys, n_buckets))
         gone = x.removed(runs.flags_of(replies, WINDOWS, x.high, n_buckets))
-        total = np.concatenate(([0], np.cumsum(gone)))
-        starts = x.ends - x.n_words
-        lost = total[x.ends] - total[starts]
-        kept = []
-        for r, body in enumerate(x.texts):
-            if emit == "documents":
-                if lost[r]:
-                    pieces = _WORD_AND_SPACE.findall(body)
-                    body = b"".join(itertools.compress(pieces, ~gone[starts[r] : x.ends[r]]))
-                kept.append(body.decode())
-            else:
-                words = body.split()
-                if lost[r]:
-                    words = itertools.compress(words, ~gone[starts[r] : x.ends[r]])
-                kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
         if emit == "documents":
+            kept = x.kept_texts(gone)
             out = part.drop(["batch"]).take(pa.array(x.order, pa.int64()))
             present = out.column(text).is_valid().to_pylist()
-            return out.set_column(out.column_names.index(text), text, pa.array([k if p else None for k, p in zip(kept, present)], pa.string()))
+            return out.set_column(out.column_names.index(text), text, pa.array([k.decode() if p else None for k, p in zip(kept, present)], pa.string()))
         ids = part.column(doc_id).cast(pa.int64()).take(pa.array(x.order, pa.int64()))
-        return pa.table({"doc_id": ids, "n_words": x.n_words, "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
+        digests = [hashlib.sha256(k).hexdigest() for k in x.kept_words(gone)]
+        return pa.table({"doc_id": ids, "n_words": pa.array(x.texts.last - x.texts.first, pa.int64()), "n_removed": pa.array(x.lost(gone), pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     if emit == "runs":
         return dealt.groupBy("batch").applyInArrow(full_runs, runs.RUN_SCHEMA)
+
+    def of_round(old: DataFrame | None, round_: int) -> DataFrame | None:
+        return None if old is None else old.filter(F.col("round") == round_)
+
+    def with_young(new: DataFrame, round_: int) -> DataFrame:
+        return new if young is None else new.unionByName(of_round(young, round_))
+
     by_batch = dealt.groupBy("batch")
-    first = runs.shared(_history(index, ANCHORS, by_batch.applyInArrow(anchor_run, runs.RUN_SCHEMA)))
-    second = runs.not_first(_history(index, WINDOWS, by_batch.cogroup(first.groupBy("batch")).applyInArrow(window_run, runs.RUN_SCHEMA)))
+    first = runs.shared(with_young(by_batch.applyInArrow(anchor_run, runs.RUN_SCHEMA), ANCHORS), n_buckets, of_round(base, ANCHORS))
+    second = by_batch.cogroup(first.groupBy("batch")).applyInArrow(window_run, runs.RUN_SCHEMA)
+    second = runs.not_first(with_young(second, WINDOWS), n_buckets, of_round(base, WINDOWS))
     schema = table.schema if emit == "documents" else "doc_id long, n_words long, n_removed long, kept_sha256 string"
     out = by_batch.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(keep, schema)
     return out.toDF(*names) if emit == "documents" else out
@@ -241,64 +245,97 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 class SubstringIndex:
     """Runs of earlier batches in a shared folder, for incremental dedup.
 
-    Each call of `dedup` reads the runs so far, removes what they hold already, and `append` adds
-    the batch's own runs as one immutable generation. `compact` merges all generations bucket by
-    bucket into a new one, without repeats; a reader never sees a half-written generation, as its
-    name is added to the manifest last.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64):
-        self.spark, self.path, self.n_buckets = spark, path.rstrip("/"), n_buckets
-
-    def _manifest(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return []
-        row = self.spark.read.parquet(f"{self.path}/manifest").orderBy(F.desc("version")).first()
-        return list(row["generations"])
+    `dedup` removes from a batch what the index or the batch itself holds already; `append` adds
+    the batch's own runs as one immutable generation; `compact` merges all generations into one
+    sorted run a bucket, in files bucketed as a later batch's runs will be, so that the history
+    isn't exchanged again. Its manifest holds the window, the gram and the numbers of buckets and
+    files: what the stored runs were cut by holds for all that follow.
 
-    def _publish(self, generations: list[str]) -> None:
-        version = len(self.spark.read.parquet(f"{self.path}/manifest").collect()) if self._manifest() else 0
-        rows = self.spark.createDataFrame([(version, generations)], "version long, generations array<string>")
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+    Every batch counts as later than all that is in the index. A reader never sees a half-written
+    generation; old files stay until their reader is done with them, and are not deleted here.
+    """
 
-    def runs(self) -> DataFrame | None:
-        names = self._manifest()
-        return self.spark.read.parquet(*[f"{self.path}/{x}" for x in names]) if names else None
+    def __init__(self, spark: SparkSession, path: str, width: int = 20, gram: int = 6, n_buckets: int | None = None):
+        self.spark, self.path, self.manifest = spark, path.rstrip("/"), Manifest(spark, path)
+        state = self.manifest.newest()[1]
+        if state is None:
+            state = {"width": width, "gram": gram, "n_buckets": n_buckets or 4 * shuffle_partitions(spark), "n_files": shuffle_partitions(spark), "base": None, "young": []}
+            self.manifest.publish(-1, state)  # if another writer was first, its parameters hold
+            state = self.manifest.newest()[1]
+        if (state["width"], state["gram"]) != (width, gram) or n_buckets not in (None, state["n_buckets"]):
+            raise ValueError(f"{path}: the index was made with {state}")
+        self.width, self.gram, self.n_buckets, self.n_files = width, gram, state["n_buckets"], state["n_files"]
+
+    def _options(self) -> dict:
+        return {"width": self.width, "gram": self.gram, "n_buckets": self.n_buckets}
+
+    def _base(self, name: str) -> DataFrame:
+        """The compacted generation, known to the catalogue as bucketed."""
+        known = f"substring_index_{xxhash.xxh3_64_hexdigest(f'{self.path}/{name}')}"
+        if not self.spark.catalog.tableExists(known):
+            place = f"{self.path}/{name}".replace("'", "''")
+            self.spark.sql(f"CREATE TABLE {known} ({runs.RUN_SCHEMA}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.n_files} BUCKETS LOCATION '{place}'")
+        return self.spark.table(known)
+
+    def runs(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """What the index holds now: the compacted generation, and all since."""
+        state = self.manifest.newest()[1]
+        base = self._base(state["base"]) if state["base"] else None
+        young = self.spark.read.schema(runs.RUN_SCHEMA).parquet(*[f"{self.path}/{x}" for x in state["young"]]) if state["young"] else None
+        return base, young
 
     def dedup(self, docs: DataFrame, **options) -> DataFrame:
-        return dedup_substrings(docs, index=self.runs(), n_buckets=self.n_buckets, **options)
+        base, young = self.runs()
+        return dedup_substrings(docs, base=base, young=young, **self._options(), **options)
 
     def append(self, docs: DataFrame, **options) -> None:
-        names = self._manifest()
-        name = f"g{len(names):06d}-{xxhash.xxh3_64_hexdigest(repr(names))}"
-        rows = dedup_substrings(docs, n_buckets=self.n_buckets, emit="runs", **options).withColumn("batch", F.lit(runs.HISTORY))
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self._publish([*names, name])
+        name = f"g-{uuid.uuid4().hex}"
+        dedup_substrings(docs, emit="runs", **self._options(), **options).write.parquet(f"{self.path}/{name}")
+        while True:
+            version, state = self.manifest.newest()
+            if self.manifest.publish(version, state | {"young": [*state["young"], name]}):
+                return
 
     def compact(self) -> None:
-        names = self._manifest()
-        if len(names) < 2:
+        """Merges what the index holds now; what is appended meanwhile stays young."""
+        _, before = self.manifest.newest()
+        if not before["young"]:
             return
-        name = f"c{len(names):06d}-{xxhash.xxh3_64_hexdigest(repr(names))}"
-        merged = self.runs().groupBy("round", "bucket").applyInArrow(_compacted, runs.RUN_SCHEMA)
-        merged.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self._publish([name])
-
-
-def _compacted(part: pa.Table) -> pa.Table:
-    """One sorted run without repeats from all runs of a bucket."""
-    bucket, round_ = part.column("bucket")[0].as_py(), part.column("round")[0].as_py()
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("keys")])
-    if round_ == ANCHORS:
-        columns = [np.unique(keys).tobytes(), None, None]
-    else:
-        more = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("more")])
-        owners = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column("owners")])
-        by = np.lexsort((owners, more, keys))
-        k, m = keys[by], more[by]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-        columns = [k[new].tobytes(), m[new].tobytes(), owners[by][new].tobytes()]
-    row = {"batch": runs.HISTORY, "bucket": bucket, "round": round_, "keys": columns[0], "more": columns[1], "owners": columns[2]}
-    return pa.Table.from_pylist([row], schema=runs._RUN)
+        parts = [p for p in self.runs() if p is not None]
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        name = f"c-{uuid.uuid4().hex}"
+        known = f"substring_index_{xxhash.xxh3_64_hexdigest(f'{self.path}/{name}')}"
+        writer = runs.compacted(rows, self.n_files).write.format("parquet").bucketBy(self.n_files, "bucket").sortBy("bucket")
+        writer.option("path", f"{self.path}/{name}").saveAsTable(known)
+        while True:
+            version, state = self.manifest.newest()
+            if state["base"] != before["base"] or state["young"][: len(before["young"])] != before["young"]:
+                return  # another compaction was first
+            if self.manifest.publish(version, state | {"base": name, "young": state["young"][len(before["young"]) :]}):
+                return
+
+
+def dedup_in_batches(docs: DataFrame, path: str, shares: tuple[float, ...] = (1 / 64, 1 / 32), id_col: str = "doc_id", text_col: str = "text", width: int = 20, gram: int = 6, **options) -> DataFrame:
+    """dedup_substrings of a whole table by way of a new index at `path`, batch by batch in the order of ids.
+
+    `shares`: of all ids, the parts that batches but the last reach up to. Each of these is deduplicated
+    against the index and appended to it; the index is compacted, and the last batch, most of the
+    rows, is merge-joined with it. The last isn't appended, as nothing follows. Any shares give the
+    same rows: an id lies in one batch, and later batches hold greater ids.
+    """
+    table, names = positional(docs)
+    key = F.col(f"_c{names.index(id_col)}").cast("long")
+    cuts = table.agg(F.percentile_approx(key, list(shares), 10_000).alias("cuts")).first()["cuts"]
+    bounds = sorted(set(cuts or []))
+    index = SubstringIndex(docs.sparkSession, path, width, gram, runs.bucket_count(input_bytes(table, F.col(f"_c{names.index(text_col)}")), docs.sparkSession))
+    out, rest = [], table
+    for bound in bounds:
+        batch = rest.filter(key.isNull() | (key <= bound)).toDF(*names)
+        out.append(index.dedup(batch, id_col=id_col, text_col=text_col, **options))
+        index.append(batch, id_col=id_col, text_col=text_col)
+        rest = rest.filter(key > bound)
+    index.compact()
+    result = index.dedup(rest.toDF(*names), id_col=id_col, text_col=text_col, **options)
+    for part in out:
+        result = result.unionByName(part)
+    return result
