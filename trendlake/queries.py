@@ -6,6 +6,7 @@ deterministic in either engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,11 @@ from .functions.score import base_score, decay, hours_between, score
 from .operators import dedup as D
 from .operators import limits as L
 from .operators import posts as P
-from .operators.upsert import newest
-from .plans.pipeline import process_posts
+from .operators.upsert import KeyedTable, upsert_keywords
+from .plans.pipeline import process_posts, save_posts
+from .session import checkpoint_dir
 from .sources.extract import body_image, extract_posts, join_url, page_links
-from .sources.keywords import danawa, daangn, daum, namuwiki
+from .sources.keywords import danawa, daangn, daum, extract_keywords, namuwiki
 from .sources.pages import decode_detected
 from .sources.samples import DETAILS, PAGES
 from .sources.sites import SITES
@@ -324,13 +326,13 @@ def enrich_cap_conditional(spark, sf_dir):
     return L.enrich_missing(rows, ["page_id"], "pos", F.expr("CASE WHEN length(text) % 2 = 0 THEN text END"), F.concat(F.lit("img:"), "href"), 2).select("page_id", "pos", "image_url")
 
 
-@query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id * 1000 + pos) = 1 AND {_VALID_SQL}")
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id, pos) = 1 AND {_VALID_SQL}")
 def mark_before(spark, sf_dir):
     rows = anchors_view(spark, sf_dir).withColumn("seq", F.shiftleft(F.col("page_id"), 32) + F.col("pos"))
     return D.first_marked_before(rows, F.expr(_VALID), F.col("href")).select("page_id", "pos", "href", "text")
 
 
-@query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a WHERE {_VALID_SQL} QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id * 1000 + pos) = 1")
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM a WHERE {_VALID_SQL} QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id, pos) = 1")
 def mark_after(spark, sf_dir):
     rows = anchors_view(spark, sf_dir).withColumn("seq", F.shiftleft(F.col("page_id"), 32) + F.col("pos"))
     return D.first_marked_after(rows, F.expr(_VALID), F.col("href")).select("page_id", "pos", "href", "text")
@@ -396,19 +398,128 @@ def kw_cache(spark, sf_dir):
     return lists.select("page_id", F.size("items").cast("bigint").alias("n"), F.array_join("items.item", ";").alias("keywords"))
 
 
-@query("SELECT doc_id, source, CAST(CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS BIGINT) * 1099511627776 + doc_id AS seq FROM documents WHERE source IN ('src0', 'src1', 'src2')")
+@query("SELECT doc_id, source, CAST(CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 3 END AS BIGINT) * 1099511627776 + doc_id AS seq FROM documents")
 def union_sources(spark, sf_dir):
+    """Three sources by name, and one of all others."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return P.union_sources([docs.filter(F.col("source") == f"src{i}") for i in range(3)], pos="doc_id").select("doc_id", "source", "seq")
+    named = [docs.filter(F.col("source") == f"src{i}") for i in range(3)]
+    rest = docs.filter(F.col("source").isNull() | ~F.col("source").isin("src0", "src1", "src2"))
+    return P.union_sources([*named, rest], pos="doc_id").select("doc_id", "source", "seq")
 
 
-@query(f"""WITH {_POSTS}, b AS (SELECT 0 AS batch, seq, source_url, title, views FROM posts WHERE seq % 3 <> 0 UNION ALL SELECT 1, seq, source_url, 'new ' || title, views + 1 FROM posts WHERE seq % 2 = 0)
+def new_table(spark: SparkSession, name: str, key: str) -> KeyedTable:
+    return KeyedTable(spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", key)
+
+
+@query(f"""WITH {_POSTS}, b AS (SELECT 0 AS batch, seq, source_url, title, views FROM posts UNION ALL SELECT 1, seq, source_url, 'new ' || title, views + 1 FROM posts WHERE views > 1000)
 SELECT source_url, title, views FROM b QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY batch DESC, seq DESC) = 1""")
 def upsert_posts(spark, sf_dir):
+    """All posts into a table, changed ones again, and a batch of none; then compacted and read."""
     posts = posts_view(spark, sf_dir).select("seq", "source_url", "title", "views")
-    old = posts.filter("seq % 3 <> 0").withColumn("batch", F.lit(0))
-    new = posts.filter("seq % 2 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "views": F.col("views") + 1, "batch": F.lit(1)})
-    return newest(old.unionByName(new), "source_url", F.struct("batch", "seq")).select("source_url", "title", "views")
+    changed = posts.filter("views > 1000").withColumns({"title": F.concat(F.lit("new "), "title"), "views": F.col("views") + 1})
+    stored = new_table(spark, "upsert_posts", "source_url")
+    for batch in (posts, changed, changed.filter("views < 0")):
+        stored.upsert(batch, F.col("seq"))
+    stored.compact()
+    return stored.read().select("source_url", "title", "views")
+
+
+@query(f"""WITH {_ANCHORS}, k AS (SELECT * FROM a WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= CASE WHEN starts_with(url, 'https') THEN 1 ELSE 10 END)
+SELECT page_id, count(*) AS n, string_agg(text || '=' || href, ';' ORDER BY pos) AS keywords FROM k GROUP BY page_id""")
+def keyword_table(spark, sf_dir):
+    """The list of each page into the keyword table; then shorter lists of some, and empty lists, which change nothing."""
+    few = L.first_rows(anchors_view(spark, sf_dir).filter("text <> ''"), ["page_id"], "pos", 10)  # so lists have ten items at most
+    lists = few.groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("keyword"), F.col("href").alias("to")))).alias("items"))
+    found = lists.select(F.col("page_id").alias("source"), "url", F.transform("items", lambda x: F.struct(x["keyword"].alias("keyword"), x["to"].alias("url"))).alias("keywords"))
+    stored = new_table(spark, "keyword_table", "source")
+    upsert_keywords(stored, found, as_of())
+    upsert_keywords(stored, found.withColumn("keywords", F.slice("keywords", 1, F.when(F.startswith("url", F.lit("https")), 1).otherwise(0))), as_of())
+    joined = F.array_join(F.transform("keywords", lambda k: F.concat(k["keyword"], F.lit("="), k["url"])), ";")
+    return stored.read().select(F.col("source").alias("page_id"), F.size("keywords").cast("bigint").alias("n"), joined.alias("keywords"))
+
+
+@query(f"""WITH {_POSTS}, {_URL_KEPT}, {_BOTH_KEPT}, kept AS (SELECT * FROM both_kept WHERE NOT {_noise_sql('title')})
+SELECT 'collected' AS stage, count(*) AS rows FROM posts UNION ALL SELECT 'deduplicated', count(*) FROM both_kept UNION ALL SELECT 'kept', count(*) FROM kept UNION ALL SELECT 'saved', count(DISTINCT source_url) FROM kept""")
+def run_report(spark, sf_dir):
+    """The stage counts of a run that writes all posts."""
+    posts = posts_view(spark, sf_dir).withColumns({"content": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string")})
+    report = save_posts(posts, new_table(spark, "run_report", "source_url"), as_of())
+    return spark.createDataFrame([(stage, getattr(report, stage)) for stage in ("collected", "deduplicated", "kept", "saved")], "stage string, rows long")
+
+
+_KEYWORD_URLS = f"CASE source WHEN 'danawa' THEN 'https://search.danawa.com/dsearch.php?query=' || {_QUOTE.format('text')} WHEN 'daum' THEN 'https://search.daum.net/search?q=' || {_QUOTE.format('text')} WHEN 'daangn' THEN 'https://www.daangn.com/kr/buy-sell/s/?search=' || {_QUOTE.format('text')} ELSE 'https://n.example' || href END"
+
+
+@query(f"""WITH {_ANCHORS}, t AS (SELECT *, row_number() OVER (PARTITION BY page_id, text ORDER BY pos) AS again FROM a WHERE text <> ''),
+s AS (SELECT t.*, source FROM t, (SELECT unnest(['danawa', 'daum', 'daangn', 'namuwiki']) AS source) WHERE source <> 'daangn' OR again = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, source ORDER BY pos) - 1 AS place FROM s)
+SELECT page_id, source, CAST(place AS BIGINT) AS pos, text AS keyword, {_KEYWORD_URLS} AS url FROM n WHERE place < 10""")
+def keyword_pages(spark, sf_dir):
+    """A page of each keyword source made of every page's links, and what is extracted from it."""
+    listed = anchors_view(spark, sf_dir).filter("text <> ''").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "href"))).alias("items"))
+    each = lambda make: F.array_join(F.transform("items", make), "")
+    pages = {
+        "danawa": F.concat(F.lit("hot_keyword"), each(lambda x: F.concat(F.lit('<a href="/dsearch.php?query=x" target="_self" title="'), x["text"], F.lit('">'))), F.lit("</dl>")),
+        "daum": F.concat(F.lit("list_trend"), each(lambda x: F.concat(F.lit('<i data-keyword="'), x["text"], F.lit('"></i>'))), F.lit("</ul>")),
+        "daangn": each(lambda x: F.concat(F.lit('<a href="/kr/buy-sell/s/?search='), T.quote(x["text"]), F.lit('" class="x"> '), x["text"], F.lit(" </a>"))),
+        "namuwiki": each(lambda x: F.concat(F.lit('"WikiRank","no":'), x["pos"].cast("string"), F.lit(',"keyword":"'), x["text"], F.lit('","url":"//n.example'), x["href"], F.lit('"'))),
+    }
+    made = listed.select("page_id", F.inline(F.array(*[F.struct(F.lit(name).alias("source"), html.alias("html")) for name, html in pages.items()])))
+    found = extract_keywords(made, "page_id")
+    return found.select("page_id", "source", F.posexplode("keywords").alias("pos", "k")).select("page_id", "source", F.col("pos").cast("bigint").alias("pos"), F.col("k.keyword").alias("keyword"), F.col("k.url").alias("url"))
+
+
+@query(f"""WITH {_ANCHORS} SELECT page_id, pos, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://s.example' || href END AS absolute, 'https://h.example' || href AS with_scheme, 'https://s.example/' || page_id AS by_id FROM a""")
+def url_rules(spark, sf_dir):
+    rows = anchors_view(spark, sf_dir).withColumns({"bare": F.concat(F.lit("//h.example"), "href"), "numbered": F.concat("href", F.lit("?document_srl="), F.col("page_id").cast("string"))})
+    return rows.select("page_id", "pos", T.absolute("https://s.example", "href").alias("absolute"), T.with_scheme("bare").alias("with_scheme"), T.url_by_id("https://s.example", "numbered").alias("by_id"))
+
+
+@query("""SELECT doc_id, n_chars AS plain, n_chars AS bracketed, n_chars AS rating, n_chars AS first_bracket, doc_id AS last_paren, n_chars AS recommend, CAST(n_chars // 7 AS BIGINT) AS first_number FROM documents""")
+def count_rules(spark, sf_dir):
+    """Each way of writing a count, with the counts of all documents."""
+    n, d = F.format_number("n_chars", 0), F.col("doc_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    plain = F.col("n_chars").cast("string")
+    found = {
+        "plain": T.to_count(text(" ", n, " ")),
+        "bracketed": T.bracketed_count(text("[", plain, "]")),
+        "rating": T.rating_count(text(plain, " - ", d)),
+        "first_bracket": T.first_bracket_count(text("t [", plain, "] [", d, "]")),
+        "last_paren": T.last_paren_count(text("t (", plain, ") (", d, ")")),
+        "recommend": T.recommend_count(text("추천 +", plain)),
+        "first_number": T.first_count(text("x", F.floor(F.col("n_chars") / 7).cast("string"), "y", d)),
+    }
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
+@query(f"""WITH {_POSTS}, t AS (SELECT seq, 'x' || title || 'x' AS t FROM posts) SELECT seq, t AS no_brackets, t AS no_paren, t AS no_rank, t AS no_recommend FROM t""")
+def title_rules(spark, sf_dir):
+    """Titles of all documents with what the pages of sites add to them, and without it again."""
+    t, n = F.concat(F.lit("x"), "title", F.lit("x")), F.col("seq").cast("string")
+    rows = posts_view(spark, sf_dir)
+    cleaned = {
+        "no_brackets": T.without_brackets(F.concat(t, F.lit(" ["), n, F.lit("] "))),
+        "no_paren": T.without_last_paren(F.concat(t, F.lit(" ("), n, F.lit(") "))),
+        "no_rank": T.without_rank(F.concat(n, F.lit(" "), t)),
+        "no_recommend": T.without_recommend(F.concat(t, F.lit(" 답글추천 +"), n)),
+    }
+    return rows.select("seq", *[c.alias(k) for k, c in cleaned.items()])
+
+
+@query("SELECT page_id, url AS property_first, url AS content_first, CASE WHEN NOT contains(url, 'example.net') THEN url END AS accepted, 'https://media.slrclub.com/' || page_id || '.jpg' AS in_body FROM pages")
+def picture_rules(spark, sf_dir):
+    """Pictures named in every page's head, in both orders of attributes, and in its body."""
+    n = F.col("page_id").cast("string")
+    first = F.concat(F.lit('<meta property="og:image" content="'), "url", F.lit('">'), "html")
+    second = F.concat(F.lit("<META content='"), "url", F.lit("' property='og:image' />"), "html")
+    body = F.concat("html", F.lit('<img src="//media.slrclub.com/'), n, F.lit('.gif"><img alt="x" src="//media.slrclub.com/'), n, F.lit('.jpg">'))
+    return table(spark, sf_dir, "pages").select("page_id", T.og_image(first).alias("property_first"), T.og_image(second).alias("content_first"), T.unless_contains(T.og_image(first), ["example.net"]).alias("accepted"), body_image(body).alias("in_body"))
+
+
+@query(f"WITH {_POSTS} SELECT seq, {_QUOTE.format('title')} AS quoted, title AS again FROM posts")
+def percent_rules(spark, sf_dir):
+    return posts_view(spark, sf_dir).select("seq", T.quote("title").alias("quoted"), T.unquote(T.quote("title")).alias("again"))
 
 
 _SITES = ", ".join(f"('{s}', '{P.SITE_NAMES[s]}', '{P.SITE_COLORS[s]}')" for s in P.SITE_NAMES)
@@ -443,7 +554,8 @@ def html_udtf_anchors(spark, sf_dir):
     return page_links(table(spark, sf_dir, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query()
+# All links of the pages begin with one slash, so that the target is the page's origin and the link.
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS target FROM a")
 def urljoin(spark, sf_dir):
     return anchors_view(spark, sf_dir).select("page_id", "pos", join_url("url", "href").alias("target"))
 
@@ -453,6 +565,14 @@ def decode_bytes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", decode_detected(F.encode("html", "UTF-8")).alias("html"))
 
 
+@query(r"""SELECT page_id, '<meta charset="euc-kr">' || regexp_replace(html, '[^\x00-\x7F]', '', 'g') || '가나다' AS html FROM pages""")
+def decode_legacy(spark, sf_dir):
+    """Pages as bytes of a charset that they name themselves."""
+    plain = F.concat(F.lit('<meta charset="euc-kr">'), F.regexp_replace("html", r"[^\x00-\x7F]", ""))
+    body = F.concat(F.encode(plain, "UTF-8"), F.unhex(F.lit("B0A1B3AAB4D9")))
+    return table(spark, sf_dir, "pages").select("page_id", decode_detected(body).alias("html"))
+
+
 _EXTRACTED = [(rank, s.site, place, *post) for rank, s in enumerate(SITES) for place, post in enumerate(PAGES[s.site][1])]
 
 

@@ -86,8 +86,11 @@ def namuwiki(html: Column) -> tuple[Column, Column]:
 EXTRACTORS: dict[str, Callable[[Column], tuple[Column, Column]]] = {"danawa": danawa, "daum": daum, "daangn": daangn, "namuwiki": namuwiki}
 
 
-def extract_keywords(pages: DataFrame) -> DataFrame:
-    """(source, html[, error]) to (source, source_rank, keywords, error); a failing source doesn't stop others."""
+def extract_keywords(pages: DataFrame, *keep: str) -> DataFrame:
+    """(source, html[, error]) to (source, source_rank, keywords, error); a failing source doesn't stop others.
+
+    keep: further columns that go along.
+    """
     items, error = F.lit(None).cast(_TYPE), F.lit(None).cast("string")
     for name in reversed(SOURCES):
         found, wrong = EXTRACTORS[name](F.col("html"))
@@ -96,4 +99,4 @@ def extract_keywords(pages: DataFrame) -> DataFrame:
     if "error" in pages.columns:  # why there is no page
         error = F.coalesce(F.col("error"), error)
     rank = F.array_position(F.lit(SOURCES), F.col("source")).cast("int") - 1
-    return pages.filter(F.col("source").isin(SOURCES)).select("source", rank.alias("source_rank"), F.when(error.isNull(), items).alias("keywords"), error.alias("error"))
+    return pages.filter(F.col("source").isin(SOURCES)).select(*keep, "source", rank.alias("source_rank"), F.when(error.isNull(), items).alias("keywords"), error.alias("error"))
