@@ -85,10 +85,11 @@ def model_of(counts: dict[tuple[str, int, str], int], languages: list[str]) -> L
 class _Scorer:
     """Scores of tokens under one model, remembered; forgets all when it has grown large."""
 
-    most = 300_000
+    most, most_scores = 300_000, 4_000_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.entries: dict[tuple[int, int], np.ndarray] = {}
         self.known = [{e: i for i, e in enumerate(entries)} for entries in model.entries]
         self.clear()
 
@@ -97,9 +98,15 @@ class _Scorer:
         self.matrix = np.zeros((1024, len(self.model.languages) + 1))
 
     def entry(self, n: int, at: int) -> np.ndarray:
-        m = self.model
-        out, span = m.unseen[n].copy(), slice(m.starts[n][at], m.starts[n][at + 1])
-        out[m.owners[n][span]] = m.scores[n][span]
+        """An entry's scores in all languages, remembered up to `most_scores` numbers."""
+        out = self.entries.get((n, at))
+        if out is None:
+            m = self.model
+            out, span = m.unseen[n].copy(), slice(m.starts[n][at], m.starts[n][at + 1])
+            out[m.owners[n][span]] = m.scores[n][span]
+            if len(self.entries) * len(out) >= self.most_scores:
+                self.entries.clear()
+            self.entries[n, at] = out
         return out
 
     def word(self, word: str) -> np.ndarray:
