@@ -11,6 +11,7 @@ import dataclasses
 import unicodedata
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,67 +84,71 @@ def model_of(counts: dict[tuple[str, int, str], int], languages: list[str]) -> L
 
 
 class _Scorer:
-    """Scores of tokens under one model, remembered; forgets all when it has grown large."""
+    """Entries of tokens and their scores under one model, remembered; forgets all when it has grown large."""
 
     most, most_scores = 300_000, 4_000_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.entries: dict[tuple[int, int], np.ndarray] = {}
-        self.known = [{e: i for i, e in enumerate(entries)} for entries in model.entries]
+        self.words = {e: (0, i) for i, e in enumerate(model.entries[0])}
+        self.grams = {e: (n, i) for n in range(1, LONGEST + 1) for i, e in enumerate(model.entries[n])}
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.places: dict[tuple[int, int], int] = {}
         self.matrix = np.zeros((1024, len(self.model.languages) + 1))
+        self.matrix[0, -1] = 1  # an unseen word, whose n-grams follow
+        self.used = 1
 
-    def entry(self, n: int, at: int) -> np.ndarray:
-        """An entry's scores in all languages, remembered up to `most_scores` numbers."""
-        out = self.entries.get((n, at))
-        if out is None:
-            m = self.model
-            out, span = m.unseen[n].copy(), slice(m.starts[n][at], m.starts[n][at + 1])
-            out[m.owners[n][span]] = m.scores[n][span]
-            if len(self.entries) * len(out) >= self.most_scores:
-                self.entries.clear()
-            self.entries[n, at] = out
-        return out
-
-    def word(self, word: str) -> np.ndarray:
-        at = self.known[0].get(word)
-        if at is not None:
-            return self.entry(0, at)
-        total, edged, i = np.zeros(len(self.model.languages)), _EDGE + word + _EDGE, 0
-        while i < len(edged):
-            for n in range(min(LONGEST, len(edged) - i), 0, -1):
-                at = self.known[n].get(edged[i : i + n])
-                if at is not None:
-                    total += self.entry(n, at)
+    def place(self, n: int, at: int) -> int:
+        """The matrix row of an entry: its scores in all languages, and 1 for a word."""
+        m, row = self.model, self.used
+        if row >= len(self.matrix):
+            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
+        span, scores = slice(m.starts[n][at], m.starts[n][at + 1]), self.matrix[row]
+        scores[:-1], scores[-1] = m.unseen[n], n == 0
+        scores[m.owners[n][span]] = m.scores[n][span]
+        self.places[n, at], self.used = row, row + 1
+        return row
+
+    def found(self, word: str) -> list[tuple[int, int]]:
+        """The word, or the longest known n-grams that cover it, each beginning inside the one before."""
+        known = self.words.get(word)
+        if known is not None:
+            return [known]
+        grams, edged, out, i = self.grams, _EDGE + word + _EDGE, [], 0
+        last = len(edged)
+        while i < last:
+            for end in range(min(i + LONGEST, last), i, -1):
+                known = grams.get(edged[i:end])
+                if known is not None:
+                    out.append(known)
                     break
-            i += max(1, n - 1)  # the next gram starts inside this one
-        return total
+            i = max(i + 1, end - 1)
+        return out
 
-    def row(self, token: str) -> int:
-        found = words_of(token)
-        at = self.rows[token] = len(self.rows)
-        if at >= len(self.matrix):
-            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
-        for w in found:
-            self.matrix[at, :-1] += self.word(w)
-        self.matrix[at, -1] = len(found)
-        return at
+    def learn(self, token: str) -> None:
+        rows, places = [], self.places
+        for w in words_of(token):
+            entries = self.found(w)
+            if not entries or entries[0][0]:
+                rows.append(0)
+            for e in entries:
+                at = places.get(e)
+                rows.append(self.place(*e) if at is None else at)
+        self.tokens[token] = tuple(rows)
 
     def score(self, text: str) -> np.ndarray:
         """Summed log frequencies a language, and in the last place the number of words."""
-        tokens = text.split()
-        if len(self.rows) > self.most:
-            self.clear()
-        total = np.zeros(self.matrix.shape[1])
-        for start in range(0, len(tokens), 100_000):
-            some, rows = tokens[start : start + 100_000], self.rows
-            for t in set(some).difference(rows):
-                self.row(t)
-            total += self.matrix[np.fromiter(map(rows.__getitem__, some), np.int64, len(some))].sum(0)
+        total, all_tokens = np.zeros(self.matrix.shape[1]), text.split()
+        for start in range(0, len(all_tokens), 100_000):
+            if len(self.tokens) > self.most or self.used * len(total) > self.most_scores:
+                self.clear()
+            some, tokens = all_tokens[start : start + 100_000], self.tokens
+            for t in set(some).difference(tokens):
+                self.learn(t)
+            total += self.matrix[np.array(list(chain.from_iterable(map(tokens.__getitem__, some))), np.int64)].sum(0)
         return total
 
 
@@ -175,9 +180,14 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
 
     def count(batches):
         for batch in batches:
-            words: dict[str, Counter] = {}
+            tokens: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(w for t in text.split() for w in words_of(t))
+                tokens.setdefault(lang, Counter()).update(text.split())
+            words: dict[str, Counter] = {lang: Counter() for lang in tokens}
+            for lang, found in tokens.items():
+                for t, c in found.items():
+                    for w in words_of(t):
+                        words[lang][w] += c
             rows: dict[tuple[str, int, str], int] = {}
             for lang, found in words.items():
                 for w, c in found.items():
