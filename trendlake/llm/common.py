@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trendlake.session import checkpoint, checkpoint_dir
 
-__all__ = ["BYTE_SPACES", "SPACES", "batch_count", "batch_of", "checkpoint", "checkpoint_dir", "documents_of", "input_bytes", "join_spread", "partitions_for", "positional", "public_tokenizer", "shuffle_partitions", "spread_out", "whole_keys"]
+__all__ = ["BYTE_SPACES", "SPACES", "batch_count", "batch_of", "checkpoint", "checkpoint_dir", "documents_of", "each_key", "input_bytes", "join_spread", "partitions_for", "positional", "public_tokenizer", "shuffle_partitions", "spread_out", "whole_keys"]
 
 #: ASCII white space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -108,6 +108,15 @@ def whole_keys(batches: Iterable[pa.RecordBatch], most_rows: int = 200_000) -> I
         yield pa.Table.from_batches(parts)
 
 
+def each_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table a key of a stream that is sorted by its first column, an integer."""
+    for table in whole_keys(batches, 1):
+        keys = table.column(0).to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield table.slice(start, end - start)
+
+
 def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str, *spread: str, least: int = 1000, most: int = 10_000) -> DataFrame:
     """Inner join of many rows a key with one row a key, where some keys are hot.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import batch_of, documents_of, input_bytes, partitions_for, public_tokenizer
+from .common import batch_of, documents_of, each_key, input_bytes, partitions_for, public_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _GROUP_BITS = 31
@@ -143,10 +143,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, e
     spark, rows = docs.sparkSession, documents_of(docs, id_col, text_col)
     size = input_bytes(rows, F.col("text"))
     n_groups = max(1, -(-size // group_bytes))
-    n_parts = partitions_for(spark, size, 128 << 20)
-    dealt = rows.select(batch_of(F.col("doc_id"), F.col("text"), n_groups).alias("group"), "doc_id", "text").repartition(n_parts, "group")
+    n_parts = min(n_groups, partitions_for(spark, size, 64 << 20))
+    grouped = rows.select(batch_of(F.col("doc_id"), F.col("text"), n_groups).alias("group"), "doc_id", "text")
+    # Groups go to partitions by their numbers, so that no partition has more than one group over its share.
+    dealt = grouped.repartitionById(n_parts, (F.col("group").cast("long") * n_parts / F.lit(n_groups)).cast("int")).sortWithinPartitions("group")
 
-    def run(part: pa.Table) -> pa.Table:
+    def packed(part: pa.Table) -> pa.Table:
         encode = codec(path).encode
         tail, group = _packed([end_id]), part.column("group")[0].as_py()
         ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
@@ -162,4 +164,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, e
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))})
 
-    return dealt.groupBy("group").applyInArrow(run, SCHEMA)
+    def run(batches):
+        for part in each_key(batches):
+            yield from packed(part).to_batches()
+
+    return dealt.mapInArrow(run, SCHEMA)

@@ -13,14 +13,12 @@ ones stay where they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, whole_keys
+from .common import each_key, shuffle_partitions
 
 RUN_SCHEMA = "batch int, bucket int, round int, keys binary, more binary, owners binary"
 REPLY_SCHEMA = "batch int, bucket int, round int, bits binary"
@@ -111,15 +109,6 @@ def _merge_first(table: pa.Table) -> pa.Table:
     return _answers(table, flags, sizes)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """One table a bucket of a stream that is sorted by its first column, the bucket."""
-    for table in whole_keys(batches, 1):
-        buckets = table.column(0).to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True])))
-        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            yield table.slice(start, end - start)
-
-
 def ranged(runs: DataFrame, n_buckets: int) -> DataFrame:
     """Rows dealt to tasks by ranges of buckets, sorted by bucket within each."""
     n = min(n_buckets, max(shuffle_partitions(runs.sparkSession), n_buckets // 4))
@@ -131,7 +120,7 @@ def _merged(runs: DataFrame, base: DataFrame | None, n_buckets: int, merge) -> D
     if base is None:
 
         def run(batches):
-            for table in _by_bucket(batches):
+            for table in each_key(batches):
                 yield from merge(table).to_batches()
 
         return ranged(runs, n_buckets).mapInArrow(run, REPLY_SCHEMA)
@@ -159,7 +148,7 @@ def compacted(runs: DataFrame, n_files: int) -> DataFrame:
     """
 
     def run(batches):
-        for table in _by_bucket(batches):
+        for table in each_key(batches):
             rounds = table.column("round").to_numpy()
             for round_ in np.unique(rounds).tolist():
                 part = table.take(pa.array(np.flatnonzero(rounds == round_)))
