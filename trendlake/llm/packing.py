@@ -144,9 +144,11 @@ def pack_documents(docs: DataFrame, path: str | None = None, room: int = 2048, e
     size = input_bytes(rows, F.col("text"))
     n_groups = max(1, -(-size // group_bytes))
     n_parts = min(n_groups, partitions_for(spark, size, 64 << 20))
+    each = -(-n_groups // n_parts)
+    n_groups = each * n_parts
     grouped = rows.select(batch_of(F.col("doc_id"), F.col("text"), n_groups).alias("group"), "doc_id", "text")
-    # Groups go to partitions by their numbers, so that no partition has more than one group over its share.
-    dealt = grouped.repartitionById(n_parts, (F.col("group").cast("long") * n_parts / F.lit(n_groups)).cast("int")).sortWithinPartitions("group")
+    # Groups go to partitions by their numbers, as many to each.
+    dealt = grouped.repartitionById(n_parts, (F.col("group") / F.lit(each)).cast("int")).sortWithinPartitions("group")
 
     def packed(part: pa.Table) -> pa.Table:
         encode = codec(path).encode
